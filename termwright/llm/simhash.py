@@ -101,7 +101,7 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     """Verified links (a, b) between the ids of distinct fingerprints; fps has fp and rep, its smallest id."""
     if not 0 <= max_bits <= 2:
         raise ValueError("the six-of-eight filter guarantees links of at most two bits")
-    keep = [~((0xFF << 8 * i) | (0xFF << 8 * j)) for i, j in FREE]
+    keep = [int(np.uint64(~((0xFF << 8 * i) | (0xFF << 8 * j)) & (1 << 64) - 1).astype(np.int64)) for i, j in FREE]
     lists = F.array(*[F.struct(F.lit(k).cast("byte").alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(keep)])
     posted = fps.select(F.explode(lists).alias("x"), "fp", "rep").select("x.k", "x.key", "fp", "rep")
     dealt = posted.repartition(partitions(fps.sparkSession), "k", "key").sortWithinPartitions("k", "key", "fp")
