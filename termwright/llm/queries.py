@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from termwright.llm import exact_dedup, quality, simhash, warc
+from termwright.llm import byte_bpe, exact_dedup, quality, simhash, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,12 +24,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(*warc.archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.encode_documents(_docs(spark, sf_dir), path, public_tokenizers.PATTERN, with_ids=False)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_verdicts(_docs(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_exact_dedup, op8_quality_rules, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_exact_dedup, op4_byte_bpe, op8_quality_rules, op10_warc)}
 
 ORACLE_SQL = {
     "op10_warc": """
