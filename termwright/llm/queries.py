@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from termwright.llm import byte_bpe, exact_dedup, packing, quality, simhash, toxicity, warc
+from termwright.llm import byte_bpe, exact_dedup, packing, quality, simhash, suffix_dedup, toxicity, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,12 +37,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_docs(spark, sf_dir)).drop("h", "kept")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_verdicts(_docs(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_exact_dedup, op4_byte_bpe, op5_toxicity, op6_packing, op8_quality_rules, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_exact_dedup, op4_byte_bpe, op5_toxicity, op6_packing, op7_suffix_dedup, op8_quality_rules, op10_warc)}
 
 ORACLE_SQL = {
     "op10_warc": """
