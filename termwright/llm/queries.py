@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from termwright.llm import byte_bpe, exact_dedup, packing, quality, recompression, simhash, suffix_dedup, toxicity, warc
+from termwright.llm import byte_bpe, exact_dedup, lm, packing, quality, recompression, simhash, suffix_dedup, toxicity, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(_docs(spark, sf_dir))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(_docs(spark, sf_dir))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(*warc.archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
@@ -50,7 +54,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_recompression, op2_simhash, op3_exact_dedup, op4_byte_bpe, op5_toxicity, op6_packing, op7_suffix_dedup, op8_quality_rules, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_recompression, op2_simhash, op3_exact_dedup, op4_byte_bpe, op5_toxicity, op6_packing, op7_suffix_dedup, op8_quality_rules, op9_lm, op10_warc)}
 
 ORACLE_SQL = {
     "op10_warc": """
