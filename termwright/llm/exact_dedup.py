@@ -46,3 +46,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     both = hot.select("text_sha256", "doc_id", "keep_id", "group_size").unionByName(rest)
     return both.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def dedup_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, all their columns unchanged, whatever those are called; rows with the same id and text both stay."""
+    normal = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACE, " ")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("row_id"), F.sha2(normal, 256).alias("row_sha"))
+    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("d"), F.col("text_sha256").alias("s")).distinct()
+    return whole.join(gone, F.col("row_id").eqNullSafe(F.col("d")) & (F.col("row_sha") == F.col("s")), "left_anti").select("row.*")

@@ -121,4 +121,7 @@ def quality_filter(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows of documents that pass, all their columns unchanged, whatever those are called."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_row")
     judged = quality_verdicts(docs.select(row, F.col(text_col).alias("q_text")), "q_text")
-    return judged.where("kept").select("q_row.*")
+    # observed counts are reported to query listeners; they also keep the optimizer from copying the whole
+    # verdict into the filter, where array functions would be evaluated over and over
+    watched = judged.observe("quality_filter", F.count(F.lit(1)).alias("judged"), F.sum(F.col("kept").cast("int")).alias("kept"))
+    return watched.where("kept").select("q_row.*")

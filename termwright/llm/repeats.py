@@ -51,12 +51,13 @@ class Powers:
         return (prefix[start + size] - prefix[start]) * self.down[start]
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id (null ranks last, as the largest id), h (of id and text: rows that repeat are one document) and text."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
+    """doc_id (null ranks last, as the largest id), h (hash of the text), text, and a struct of the columns to carry."""
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"),
         F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
+        *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry")] if carry else []),
     )
 
 
@@ -185,7 +186,7 @@ def shared_items(docs: DataFrame, items: Callable[[], Items]) -> DataFrame:
         if len(hot):
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([hot.view(np.int64)])], names=["doc_id", "h", "items", "hot"])
 
-    sent = docs.mapInArrow(send, "bucket int, key binary, flag binary, doc binary, number binary, ids binary, hs binary")
+    sent = docs.select("doc_id", "h", "text").mapInArrow(send, "bucket int, key binary, flag binary, doc binary, number binary, ids binary, hs binary")
     dealt = sent.repartition(count, "bucket")
     return materialize(dealt.mapInArrow(settle, "doc_id long, h long, items array<int>, hot array<long>"), "shared-items")
 

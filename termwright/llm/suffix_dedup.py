@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from termwright.llm import repeats as R
 from termwright.llm.repeats import NO_ID, U64, Powers, mix
@@ -184,7 +184,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataF
         powers = Powers()
         names = ["bucket", "body", "size", "key", "doc", "at", "sdoc", "sat", "ssize", "ids", "hs"]
         kinds = [pa.int32()] + [pa.binary()] * 10
-        for ids, hs, texts, rest in R.blocks(batches):
+        for ids, hs, texts, rest in R.blocks(b.select([0, 1, 2, 3]) for b in batches):
             live = [i for i, (x,) in enumerate(rest) if x]
             if not live:
                 continue
@@ -313,33 +313,39 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataF
             doc, at, size = doc[head], at[head], reach[tail] - at[head]
             yield R.lists(doc, ids, hs, {"at": at, "size": size})
 
-    asked = docs.join(R.by_document(found.where("items is not null"), "items"), ["doc_id", "h"], "left").select("doc_id", "h", "text", "items")
+    asked = docs.join(R.by_document(found.where("items is not null"), "items"), ["doc_id", "h"], "left").select("doc_id", "h", "text", "items", *docs.columns[3:])
     sent = asked.mapInArrow(send, "bucket int, body binary, size binary, key binary, doc binary, at binary, sdoc binary, sat binary, ssize binary, ids binary, hs binary")
     return sent.repartition(count, "bucket").mapInArrow(settle, "doc_id long, h long, at array<int>, size array<int>")
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """One row per input row: doc_id, h (hash of the text), n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes).
 
+    Columns named in carry come along in a struct `carry`. With as_text, kept is a string without the rests of
+    characters that a cut splits.
+
     A byte goes if a `window`-byte string that covers it also starts in a document with a smaller doc_id.
     A null text counts as empty. Texts shorter than a window lose nothing. Rows that repeat a doc_id are one
     document and take nothing from each other; null ids rank after all others and take nothing from each
     other. Removal may cut a multi-byte character; kept is binary. An empty table gives an empty result;
     other columns are ignored.
     """
-    base = R.keyed(docs, id_col, text_col)
+    base = R.keyed(docs, id_col, text_col, carry)
     spans = R.by_document(repeated_spans(base, window, gram), "at", "size")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for d, h, t, at, size in zip(*(c.to_pylist() for c in b.columns)):
+            for d, h, t, at, size in zip(*(b.column(i).to_pylist() for i in range(5))):
                 gone = R.union(np.array(at or [], np.int64), np.array(size or [], np.int64), len(t))
                 kept = np.frombuffer(t, np.uint8)[~gone].tobytes() if gone.any() else t
                 n_spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                rows.append((None if d == NO_ID else d, h, len(t), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept))
-            kinds = [pa.int64()] * 5 + [pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 7, kinds)], names=["doc_id", "h", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    joined = base.join(spans, ["doc_id", "h"], "left").select("doc_id", "h", "text", "at", "size")
-    return joined.mapInArrow(cut, "doc_id long, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+                rows.append((None if d == NO_ID else d, h, len(t), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if as_text else kept))
+            kinds = [pa.int64()] * 5 + [pa.string(), pa.string() if as_text else pa.binary()]
+            arrays = [pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 7, kinds)] + b.columns[5:]
+            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
+
+    joined = base.join(spans, ["doc_id", "h"], "left").select("doc_id", "h", "text", "at", "size", *base.columns[3:])
+    schema = T.StructType.fromDDL("doc_id long, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept " + ("string" if as_text else "binary"))
+    schema = T.StructType([*schema, *base.select(*base.columns[3:]).schema])
+    return joined.mapInArrow(cut, schema)
