@@ -57,9 +57,19 @@ class Tokens:
     def word_owner(self, count: int) -> np.ndarray:
         return (mix(self.words) % U64(count)).astype(np.int64)
 
-    def pair_owner(self, count: int) -> np.ndarray:
-        """Pairs of a context go to sixteen owners at most, so that no context is too hot."""
-        return (mix(self.contexts[self.c] ^ mix(self.words[self.w] & U64(15))) % U64(count)).astype(np.int64)
+    def pair_owner(self, count: int, c: np.ndarray, total: int) -> np.ndarray:
+        """A context's pairs have one owner, or 64 if its training count c is over a quarter of an owner's fair share: the same in every block."""
+        spread = np.where(c.astype(np.float64) * count * 4 > total, U64(63), U64(0))[self.c]
+        return (mix(self.contexts[self.c] ^ mix(self.words[self.w] & spread)) % U64(count)).astype(np.int64)
+
+
+def steps(names: np.ndarray) -> bytes:
+    """Sorted names by their differences, whose high bytes are mostly zero."""
+    return R.planes(np.diff(names, prepend=U64(0)))
+
+
+def unsteps(raw: bytes) -> np.ndarray:
+    return np.cumsum(R.unplanes(raw, U64), dtype=U64)
 
 
 def _rows(cols: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -103,13 +113,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         t = Tokens(texts)
         trained = np.bincount(t.word, ~held[t.doc], len(t.words)).astype(np.uint32)
         to = t.word_owner(count)
-        return _rows([(b, block, t.words[x].tobytes(), b"", b"", b"", b"", R.planes(trained[x])) for b in range(count) for x in [np.flatnonzero(to == b)]], ask)
+        return _rows([(b, block, steps(t.words[x]), b"", b"", b"", b"", R.planes(trained[x])) for b in range(count) for x in [np.flatnonzero(to == b)]], ask)
 
     def own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]
         for owner in sorted({r["owner"] for r in rows}):
             mine = [r for r in rows if r["owner"] == owner]
-            names = [np.frombuffer(r["names"], U64) for r in mine]
+            names = [unsteps(r["names"]) for r in mine]
             all_names, at = np.unique(np.concatenate(names), return_inverse=True)
             c = np.bincount(at.reshape(-1), np.concatenate([R.unplanes(r["trained"], np.uint32) for r in mine]), len(all_names)).astype(np.int64)
             tokens, types = int(c.sum()), int((c > 0).sum())
@@ -127,11 +137,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             return ask.empty_table()
         block, _, held, texts = columns(left)
         t = Tokens(texts)
-        c = counts(t, _replies(right, 0))
+        told = _replies(right, 0)
+        c = counts(t, told)
         # every training document has one end, so the ends count the starts as well
         c = np.append(c, c[np.searchsorted(t.words, END)]).astype(np.uint32)
         trained = np.bincount(t.pair, ~held[t.doc], len(t.pairs)).astype(np.uint32)
-        to, out = t.pair_owner(count), []
+        to, out = t.pair_owner(count, c, sum(r["tokens"] for r in told.values())), []
         for b in range(count):
             x = np.flatnonzero(to == b)
             if not len(x):
@@ -139,7 +150,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             head = np.flatnonzero(np.diff(t.c[x], prepend=-1))
             used, word = np.unique(t.w[x], return_inverse=True)
             ctx = t.c[x[head]]
-            out.append((b, block, t.words[used].tobytes(), t.contexts[ctx].tobytes(), R.planes(c[ctx]), R.planes(np.diff(np.append(head, len(x))).astype(np.uint32)), R.planes(word.reshape(-1).astype(np.uint32)), R.planes(trained[x])))
+            out.append((b, block, steps(t.words[used]), steps(t.contexts[ctx]), R.planes(c[ctx]), R.planes(np.diff(np.append(head, len(x))).astype(np.uint32)), R.planes(word.reshape(-1).astype(np.uint32)), R.planes(trained[x])))
         return _rows(out, ask)
 
     def own_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +160,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             own, sizes, seen = [], [], []
             for r in mine:
                 run = R.unplanes(r["run"], np.uint32).astype(np.int64)
-                ctx = np.repeat(np.frombuffer(r["context"], U64), run)
-                word = np.frombuffer(r["names"], U64)[R.unplanes(r["word"], np.uint32)]
+                ctx = np.repeat(unsteps(r["context"]), run)
+                word = unsteps(r["names"])[R.unplanes(r["word"], np.uint32)]
                 n = R.unplanes(r["trained"], np.uint32)
                 k = np.flatnonzero(n)
                 seen.append((ctx[k], word[k], n[k], np.repeat(R.unplanes(r["total"], np.uint32), run)[k]))
@@ -166,8 +177,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             del ctx, word, n, total, order
             for r in mine:
                 run = R.unplanes(r["run"], np.uint32).astype(np.int64)
-                ctx = np.repeat(np.frombuffer(r["context"], U64), run)
-                word = np.frombuffer(r["names"], U64)[R.unplanes(r["word"], np.uint32)]
+                ctx = np.repeat(unsteps(r["context"]), run)
+                word = unsteps(r["names"])[R.unplanes(r["word"], np.uint32)]
                 yield pa.RecordBatch.from_pydict({"block": [r["block"]], "owner": [owner], "kind": [1], "tokens": [0], "types": [0], "body": [R.planes(trie.find(ctx, word, MISSING))]}, schema=tell)
 
     result = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -179,10 +190,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         t, told = Tokens(texts), _replies(right, 0)
         c, n, v = counts(t, told), sum(r["tokens"] for r in told.values()), sum(r["types"] for r in told.values())
         unigram = (c + 1) / (n + v + 1)
-        q, to = np.full(len(t.pairs), MISSING, np.uint16), t.pair_owner(count)
+        each = np.append(c, c[np.searchsorted(t.words, END)])
+        q, to = np.full(len(t.pairs), MISSING, np.uint16), t.pair_owner(count, each.astype(np.uint32), n)
         for b, r in _replies(right, 1).items():
             q[to == b] = R.unplanes(r["body"], np.uint16)
-        totals = np.append(c, c[np.searchsorted(t.words, END)])[t.c]
+        totals = each[t.c]
         p = np.where(q == MISSING, 0.0, 10.0 ** (-q.astype(np.float64) / STEP)) + prior * unigram[t.w] / (totals + prior)
         docs_ = len(texts)
         cols = [

@@ -13,11 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from termwright.llm.runtime import materialize, partitions
+from termwright.llm.runtime import materialize, partitions, trim
 
 NO_ID = (1 << 63) - 1
 #: Text handled at once in a task.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 U64 = np.uint64
 
 
@@ -65,15 +65,17 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
     """doc_id, h, text and the other columns' values of rows with about `limit` bytes of text."""
     ids, hs, texts, rest, size = [], [], [], [], 0
     for b in batches:
-        more = [c.to_pylist() for c in b.columns[3:]]
-        for i, (d, h, t) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)))):
-            ids.append(d), hs.append(h), texts.append(t), rest.append([c[i] for c in more])
-            size += len(t)
+        for i in range(b.num_rows):
+            ids.append(b.column(0)[i].as_py()), hs.append(b.column(1)[i].as_py()), texts.append(b.column(2)[i].as_py())
+            rest.append([c[i].as_py() for c in b.columns[3:]])
+            size += len(texts[-1])
             if size >= limit:
                 yield np.array(ids), np.array(hs), texts, rest
                 ids, hs, texts, rest, size = [], [], [], [], 0
+                trim()
     if ids:
         yield np.array(ids), np.array(hs), texts, rest
+        trim()
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -98,7 +100,7 @@ def unsix(raw: bytes) -> np.ndarray:
 
 
 def owners(docs: DataFrame) -> int:
-    return max(1, partitions(docs.sparkSession) // 4)
+    return max(1, partitions(docs.sparkSession) // 2)
 
 
 Items = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
@@ -132,9 +134,10 @@ def shared_items(docs: DataFrame, items: Callable[[], Items]) -> DataFrame:
             head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
             low, high = (np.minimum.reduceat(d, head), np.maximum.reduceat(d, head)) if len(k) else (d, d)
             known = np.repeat(low < high, np.diff(np.append(head, len(k))))
-            sent = np.zeros(len(k), np.uint8)
+            sent = (~known).astype(np.uint8)
             sent[head] = 1
-            # one entry a key; items that the block settles go along with their document, as settled
+            # one entry a key, or all of its only document's; items that the block settles go along with
+            # their document, as settled
             entry, settled = order[sent == 1], order[known]
             flag = known[sent == 1].astype(np.uint8)
             to = (key[entry] % U64(count)).astype(np.int64)

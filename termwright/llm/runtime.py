@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Python-side white space of the contracts: \x20 and \x09 to \x0D.
@@ -47,3 +50,26 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(m))
+
+
+def slices(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts (null: empty) of a few rows at a time, about `limit` bytes: a batch can hold thousands of long texts."""
+    keys, texts, size = [], [], 0
+    for b in batches:
+        for i in range(b.num_rows):
+            keys.append(b.column(0)[i].as_py())
+            texts.append(b.column(1)[i].as_py() or "")
+            size += len(texts[-1])
+            if size >= limit:
+                yield keys, texts
+                keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can: workers live on between tasks."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
