@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from termwright import queries as Q
@@ -17,7 +18,7 @@ def duck(sf_dir):
 
 
 def rows(pdf):
-    show = lambda v: "null" if v is None or v != v else repr(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    show = lambda v: "null" if v is None or v is pd.NA or v != v else repr(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return sorted(tuple(show(v) for v in r) for r in pdf[sorted(pdf.columns)].astype(object).values.tolist())
 
 
