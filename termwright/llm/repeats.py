@@ -100,7 +100,7 @@ def unsix(raw: bytes) -> np.ndarray:
 
 
 def owners(docs: DataFrame) -> int:
-    return max(1, partitions(docs.sparkSession) // 2)
+    return partitions(docs.sparkSession)
 
 
 Items = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
@@ -156,6 +156,7 @@ def shared_items(docs: DataFrame, items: Callable[[], Items]) -> DataFrame:
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, flags, docs_, numbers, ids, hs, done_d, done_n, at = [], [], [], [], [], [], [], [], 0
         n_blocks = 0
+        trim()
         for batch in batches:
             for r in batch.to_pylist():
                 key, dx, num = unsix(r["key"]), unplanes(r["doc"], np.uint32).astype(np.int64), unplanes(r["number"], np.uint32)

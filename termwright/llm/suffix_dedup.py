@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from termwright.llm import repeats as R
 from termwright.llm.repeats import NO_ID, U64, Powers, mix
+from termwright.llm.runtime import trim
 
 GRAM = 20
 #: Windows sorted at once.
@@ -232,6 +233,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         powers = Powers()
         bodies, sizes, keys, mdoc, mctx, mat, sdoc, sat, ssize, ids, hs, d, c = [], [], [], [], [], [], [], [], [], [], [], 0, 0
         for batch in batches:
