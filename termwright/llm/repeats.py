@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from termwright.llm.runtime import materialize, partitions, trim
+from termwright.llm.runtime import materialize, partitions, release, trim
 
 NO_ID = (1 << 63) - 1
 #: Text handled at once in a task.
@@ -192,7 +192,10 @@ def shared_items(docs: DataFrame, items: Callable[[], Items]) -> DataFrame:
 
     sent = docs.select("doc_id", "h", "text").mapInArrow(send, "bucket int, key binary, flag binary, doc binary, number binary, ids binary, hs binary")
     dealt = sent.repartition(count, "bucket")
-    return materialize(dealt.mapInArrow(settle, "doc_id long, h long, items array<int>, hot array<long>"), "shared-items")
+    found = materialize(dealt.mapInArrow(settle, "doc_id long, h long, items array<int>, hot array<long>"), "shared-items")
+    del sent, dealt
+    release(docs.sparkSession)
+    return found
 
 
 def by_document(found: DataFrame, *columns: str) -> DataFrame:

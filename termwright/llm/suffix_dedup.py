@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard as zstd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from termwright.llm import repeats as R
@@ -182,7 +183,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataF
     hot = spark.sparkContext.broadcast(R.hot_keys(found, count))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, squeeze = Powers(), zstd.ZstdCompressor(level=1).compress
         names = ["bucket", "body", "size", "key", "doc", "at", "sdoc", "sat", "ssize", "ids", "hs"]
         kinds = [pa.int32()] + [pa.binary()] * 10
         for ids, hs, texts, rest in R.blocks(b.select([0, 1, 2, 3]) for b in batches):
@@ -225,7 +226,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataF
                 number[cls[mine]] = np.arange(len(mine))
                 used, dx = np.unique(np.concatenate([text[have], text[settled]]), return_inverse=True)
                 out.append(
-                    (b, buf[R.flat(start[mine], size[mine])].tobytes(), R.planes(size[mine].astype(np.uint32)), key[mine].tobytes(),
+                    (b, squeeze(buf[R.flat(start[mine], size[mine])].tobytes()), R.planes(size[mine].astype(np.uint32)), key[mine].tobytes(),
                      R.planes(np.stack([dx[: len(have)], number[cls[have]]], 1).astype(np.uint32).reshape(-1)), R.planes(first[have].astype(np.uint32)),
                      R.planes(dx[len(have) :].astype(np.uint32)), R.planes(first[settled].astype(np.uint32)), R.planes(size[settled].astype(np.uint32)), ids[used].tobytes(), hs[used].tobytes())
                 )
@@ -234,11 +235,11 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataF
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
-        powers = Powers()
+        powers, expand = Powers(), zstd.ZstdDecompressor().decompress
         bodies, sizes, keys, mdoc, mctx, mat, sdoc, sat, ssize, ids, hs, d, c = [], [], [], [], [], [], [], [], [], [], [], 0, 0
         for batch in batches:
             for r in batch.to_pylist():
-                bodies.append(r["body"]), sizes.append(R.unplanes(r["size"], np.uint32)), keys.append(np.frombuffer(r["key"], U64))
+                bodies.append(expand(r["body"])), sizes.append(R.unplanes(r["size"], np.uint32)), keys.append(np.frombuffer(r["key"], U64))
                 two = R.unplanes(r["doc"], np.uint32).reshape(-1, 2).astype(np.int64)
                 mdoc.append(two[:, 0] + d), mctx.append(two[:, 1] + c), mat.append(R.unplanes(r["at"], np.uint32))
                 sdoc.append(R.unplanes(r["sdoc"], np.uint32).astype(np.int64) + d), sat.append(R.unplanes(r["sat"], np.uint32)), ssize.append(R.unplanes(r["ssize"], np.uint32))
