@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from termwright.llm import repeats as R
 from termwright.llm.elias_fano import Trie
 from termwright.llm.recompression import words
-from termwright.llm.repeats import NO_ID, U64, Powers, mix
+from termwright.llm.repeats import NO_ID, U64, Powers, mix, steps, unsteps
 from termwright.llm.runtime import crc_mod, partitions
 
 BLOCK_BYTES = 8 << 20
@@ -63,15 +63,6 @@ class Tokens:
         return (mix(self.contexts[self.c] ^ mix(self.words[self.w] & spread)) % U64(count)).astype(np.int64)
 
 
-def steps(names: np.ndarray) -> bytes:
-    """Sorted names by their differences, whose high bytes are mostly zero."""
-    return R.planes(np.diff(names, prepend=U64(0)))
-
-
-def unsteps(raw: bytes) -> np.ndarray:
-    return np.cumsum(R.unplanes(raw, U64), dtype=U64)
-
-
 def _rows(cols: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*cols)) or [()] * len(schema), schema)], schema=schema)
 

@@ -5,8 +5,8 @@ symbols into left and right ones by a hash and names every adjacent left-right p
 are 64-bit hashes of what they stand for, so every task gives equal strings equal names without a
 dictionary to exchange. Each symbol carries the words that decided it; inside equal substrings the symbols
 that no outside word decides are equal at every level. Each window relies on its highest level with such a
-symbol. Symbols of two documents are found by shared_items; windows all of whose symbols are shared are
-then verified by their own words' hash, where the smallest doc_id of equal windows decides.
+symbol. Owners of symbols tell which ones two documents have; windows all of whose symbols are shared are then
+verified by their own words' hash, where the smallest doc_id of equal windows decides.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from termwright.llm import repeats as R
 from termwright.llm.repeats import NO_ID, U64, Powers, mix
+from termwright.llm.runtime import partitions
 
 ROUNDS = 4
 WORD_BLOCK = 1 << 20
@@ -134,90 +135,41 @@ def symbols(name: np.ndarray, text: np.ndarray, window: int, rounds: int) -> tup
     return key[order], first[order], last[order], of[order], relies
 
 
-def repeated_words(docs: DataFrame, window: int = 13, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, h and lists of first word and number of words to remove; docs as made by repeats.keyed()."""
-
-    def items():
-        powers = Powers()
-
-        def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            text, _, _, h, _ = words(texts, powers)
-            key, first, _, _, _ = symbols(h, text, window, rounds)
-            return text[first] if len(first) else text[:0], key
-
-        return cut
-
-    found = R.shared_items(docs, items)
-    count = R.owners(docs)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        names = ["bucket", "key", "doc", "at", "sdoc", "sat", "ids", "hs"]
-        kinds = [pa.int32()] + [pa.binary()] * 7
-        for ids, hs, texts, rest in R.blocks(batches):
-            live = [i for i, (x,) in enumerate(rest) if x]
-            if not live:
-                continue
-            texts, ids, hs, rest = [texts[i] for i in live], ids[live], hs[live], [rest[i] for i in live]
-            text, _, _, h, _ = words(texts, powers)
-            key, first, last, level, relies = symbols(h, text, window, rounds)
-            n, heads = len(h), np.searchsorted(text, np.arange(len(texts)))
-            share = np.zeros(len(key), bool)
-            item_heads = np.searchsorted(text[first], np.arange(len(texts)))
-            share[np.concatenate([item_heads[i] + np.array(x, np.int64) for i, (x,) in enumerate(rest)])] = True
-            paint = lambda s: R.union(first[s], last[s] - first[s] + 1, n)
-            # a window relies on all symbols of its level inside it: each must be shared
-            hope = np.zeros(n, bool)
-            for t in range(rounds + 1):
-                hope |= (relies == t) & paint(share & (level == t)) & ~paint(~share & (level == t))
-            at = np.flatnonzero(hope)
-            if not len(at):
-                continue
-            w = mix(window_hash(h, window, at))
-            order = np.lexsort((at, ids[text[at]], w))
-            ws, ds = w[order], ids[text[at[order]]]
-            head = np.flatnonzero(np.concatenate([[True], ws[1:] != ws[:-1]]))
-            least = np.repeat(ds[head], np.diff(np.append(head, len(ws))))
-            # the smallest document of a window speaks for the block; larger ones are settled
-            done, lead = order[ds > least], order[head]
-            more = order[(ds == least) & ~np.isin(np.arange(len(order)), head)]  # the same document again
-            local = at - heads[text[at]]
-            to, home = (w % U64(count)).astype(np.int64), (hs[text[at]].view(U64) % U64(count)).astype(np.int64)
-            ask = np.sort(np.concatenate([lead, more]))
-            out = []
-            for b in range(count):
-                x, s = ask[to[ask] == b], np.sort(done[home[done] == b])
-                if len(x) or len(s):
-                    used, dx = np.unique(np.concatenate([text[at[x]], text[at[s]]]), return_inverse=True)
-                    out.append((b, w[x].tobytes(), R.planes(dx[: len(x)].astype(np.uint32)), R.planes(local[x].astype(np.uint32)), R.planes(dx[len(x) :].astype(np.uint32)), R.planes(local[s].astype(np.uint32)), ids[used].tobytes(), hs[used].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, doc, at, sdoc, sat, ids, hs, d = [], [], [], [], [], [], [], 0
-        for batch in batches:
-            for r in batch.to_pylist():
-                key.append(np.frombuffer(r["key"], U64)), doc.append(R.unplanes(r["doc"], np.uint32) + np.uint32(d)), at.append(R.unplanes(r["at"], np.uint32))
-                sdoc.append(R.unplanes(r["sdoc"], np.uint32) + np.uint32(d)), sat.append(R.unplanes(r["sat"], np.uint32))
-                ids.append(np.frombuffer(r["ids"], np.int64)), hs.append(np.frombuffer(r["hs"], np.int64))
-                d += len(ids[-1])
-        if not d:
-            return
-        key, doc, at, sdoc, sat, ids, hs = map(np.concatenate, (key, doc, at, sdoc, sat, ids, hs))
-        order = np.argsort(key, kind="stable")
-        k, di = key[order], ids[doc[order]]
-        head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
-        over = order[di > np.repeat(np.minimum.reduceat(di, head), np.diff(np.append(head, len(k))))] if len(k) else order
-        doc, at = np.concatenate([doc[over], sdoc]).astype(np.int64), np.concatenate([at[over], sat]).astype(np.int64)
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
-        if len(doc):
-            head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + window)]))
-            tail = np.append(head[1:], len(doc)) - 1
-            yield R.lists(doc[head], ids, hs, {"at": at[head], "size": at[tail] - at[head] + window})
-
-    asked = docs.join(R.by_document(found.where("items is not null"), "items"), ["doc_id", "h"], "left").select("doc_id", "h", "text", "items")
-    sent = asked.mapInArrow(send, "bucket int, key binary, doc binary, at binary, sdoc binary, sat binary, ids binary, hs binary")
-    return sent.repartition(count, "bucket").mapInArrow(settle, "doc_id long, h long, at array<int>, size array<int>")
+class Windows:
+    """A block's symbols and, once owners have told which are shared, its windows that may repeat."""
+
+    def __init__(self, block: R.Block, window: int, rounds: int):
+        self.text, _, _, self.h, _ = words(block.texts, Powers())
+        self.block, self.window, self.rounds = block, window, rounds
+        self.key, self.first, self.last, self.level, self.relies = symbols(self.h, self.text, window, rounds)
+        self.symbols = R.Keys(self.key, block.ids[self.text[self.first]])
+
+    def hear(self, told: R.Told, count: int) -> Windows:
+        share, n = self.symbols.hear(told, count).shared[self.symbols.of], len(self.h)
+        paint = lambda s: R.union(self.first[s], self.last[s] - self.first[s] + 1, n)
+        # a window relies on all symbols of its level inside it: each must be shared
+        hope = np.zeros(n, bool)
+        for t in range(self.rounds + 1):
+            hope |= (self.relies == t) & paint(share & (self.level == t)) & ~paint(~share & (self.level == t))
+        self.at = np.flatnonzero(hope)
+        self.ids = self.block.ids[self.text[self.at]]
+        # the smallest document of a window speaks for the block
+        self.names, self.of = np.unique(mix(window_hash(self.h, self.window, self.at)), return_inverse=True)
+        self.of = self.of.reshape(-1)
+        self.least = np.full(len(self.names), NO_ID)
+        np.minimum.at(self.least, self.of, self.ids)
+        return self
+
+
+def own_windows(asked: list[R.Parts]) -> list[R.Parts]:
+    """Which windows start in a smaller document of another block."""
+    names = [R.unsteps(parts[0]) for parts in asked]
+    least = np.concatenate([R.unplanes(parts[1], np.int64) for parts in asked])
+    all_names, at = np.unique(np.concatenate(names), return_inverse=True)
+    low = np.full(len(all_names), NO_ID)
+    np.minimum.at(low, at.reshape(-1), least)
+    over = low[at.reshape(-1)] < least
+    return [[R.bits(o)] for o in np.split(over, np.cumsum([len(n) for n in names])[:-1])]
 
 
 def window_hash(h: np.ndarray, window: int, at: np.ndarray) -> np.ndarray:
@@ -237,22 +189,35 @@ def remove_repeats(docs: DataFrame, window: int = 13, rounds: int = ROUNDS, id_c
     each other; null ids rank after all others and take nothing from each other. An empty table gives an
     empty result; other columns are ignored.
     """
-    base = R.keyed(docs, id_col, text_col)
-    spans = R.by_document(repeated_words(base, window, rounds), "at", "size")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for d, h, t, at, size in zip(*(c.to_pylist() for c in b.columns)):
-                toks = t.split()
-                n = len(toks)
-                if at:
-                    gone = R.union(np.array(at, np.int64), np.array(size, np.int64), n)
-                    toks = [w for w, g in zip(toks, gone.tolist()) if not g]
-                kept = b" ".join(toks)
-                rows.append((None if d == NO_ID else d, h, n, n - len(toks), hashlib.sha256(kept).hexdigest(), kept))
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 6, kinds)], names=["doc_id", "h", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    joined = base.join(spans, ["doc_id", "h"], "left").select("doc_id", "h", "text", "at", "size")
-    return joined.mapInArrow(cut, "doc_id long, h long, n_words long, n_removed long, kept_sha256 string, kept binary").withColumn("kept", F.col("kept").cast("string"))
+    count = partitions(docs.sparkSession)
+    base = R.dealt(R.keyed(docs, id_col, text_col))
+
+    def ask_symbols(block: R.Block, told: R.Told) -> Iterator[tuple[int, R.Parts]]:
+        return Windows(block, window, rounds).symbols.ask(count)
+
+    def ask_windows(block: R.Block, told: R.Told) -> Iterator[tuple[int, R.Parts]]:
+        w = Windows(block, window, rounds).hear(told, count)
+        for owner, x in R.by_owner(w.names, count):
+            yield owner, [R.steps(w.names[x]), R.planes(w.least[x])]
+
+    def cut(block: R.Block, told: R.Told) -> pa.Table:
+        w = Windows(block, window, rounds).hear(told, count)
+        over = np.zeros(len(w.names), bool)
+        for owner, x in R.by_owner(w.names, count):
+            over[x] = R.unbits(told[1, owner][0], len(x))
+        at = w.at[over[w.of] | (w.ids > w.least[w.of])]
+        gone = R.union(at, np.full(len(at), window), len(w.h)).tolist()
+        rows, n = [], 0
+        for d, h, t in zip(block.ids.tolist(), block.hs.tolist(), block.texts):
+            toks = t.split()
+            left = b" ".join(x for x, g in zip(toks, gone[n : n + len(toks)]) if not g)
+            removed = sum(gone[n : n + len(toks)])
+            n += len(toks)
+            rows.append((None if d == NO_ID else d, h, len(toks), removed, hashlib.sha256(left).hexdigest(), left))
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "h", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    shared = R.converse(base, None, 0, ask_symbols, R.own_keys)
+    repeated = R.converse(base, shared, 1, ask_windows, own_windows)
+    out = R.finish(base, shared.unionByName(repeated), cut, "doc_id long, h long, n_words long, n_removed long, kept_sha256 string, kept binary")
+    return out.withColumn("kept", F.col("kept").cast("string"))

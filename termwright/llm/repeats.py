@@ -1,8 +1,9 @@
-"""What the two repeated-passage operators share: which content-defined keys occur in two documents or more.
+"""What the two repeated-passage operators share: a conversation of blocks of documents with the owners of keys.
 
-An operator cuts each document into keyed items, in an order that the text alone decides. Keys travel to
-the owner of their bucket as packed arrays, at most one entry for each key and block of documents: a key
-that a block itself shows in two documents is settled there. Owners answer with item numbers, by document.
+Documents are dealt to blocks. A block cuts its texts into keyed items, in an order that the texts alone
+decide, and asks the owner of every distinct key about it. Owners answer by block, in the order asked, so
+an answer is a bit for a key and no document or position travels with it. A block that is computed again
+asks the same questions.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from termwright.llm.runtime import materialize, partitions, release, trim
+from termwright.llm.runtime import partitions, trim
 
 NO_ID = (1 << 63) - 1
-#: Text handled at once in a task.
+#: Text of a block.
 BLOCK_BYTES = 2 << 20
 U64 = np.uint64
+#: Owners know a key by its top 40 bits; two keys that agree in them only cost a needless question later.
+SHORT = U64(24)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -61,23 +64,6 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None =
     )
 
 
-def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], list[list]]]:
-    """doc_id, h, text and the other columns' values of rows with about `limit` bytes of text."""
-    ids, hs, texts, rest, size = [], [], [], [], 0
-    for b in batches:
-        for i in range(b.num_rows):
-            ids.append(b.column(0)[i].as_py()), hs.append(b.column(1)[i].as_py()), texts.append(b.column(2)[i].as_py())
-            rest.append([c[i].as_py() for c in b.columns[3:]])
-            size += len(texts[-1])
-            if size >= limit:
-                yield np.array(ids), np.array(hs), texts, rest
-                ids, hs, texts, rest, size = [], [], [], [], 0
-                trim()
-    if ids:
-        yield np.array(ids), np.array(hs), texts, rest
-        trim()
-
-
 def planes(a: np.ndarray) -> bytes:
     """Bytes of equal weight together, which compresses."""
     a = np.ascontiguousarray(a)
@@ -89,129 +75,141 @@ def unplanes(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
-def six(keys: np.ndarray) -> bytes:
-    """The top 48 bits of each key; the bucket is of the low bits."""
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
-
-
-def unsix(raw: bytes) -> np.ndarray:
-    body = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return np.concatenate([np.zeros((len(body), 2), np.uint8), body], axis=1).view(U64).reshape(-1)
-
-
-def owners(docs: DataFrame) -> int:
-    return partitions(docs.sparkSession)
-
-
-Items = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
-
-
-def lists(doc: np.ndarray, ids: np.ndarray, hs: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """One row per document with a list of each column; doc must be sorted."""
-    heads = np.flatnonzero(np.diff(doc, prepend=-1))
-    offsets = pa.array(np.append(heads, len(doc)).astype(np.int32))
-    arrays = [pa.array(ids[doc[heads]]), pa.array(hs[doc[heads]])]
-    arrays += [pa.ListArray.from_arrays(offsets, pa.array(c.astype(np.int32))) for c in columns.values()]
-    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", *columns])
-
-
-def shared_items(docs: DataFrame, items: Callable[[], Items]) -> DataFrame:
-    """doc_id, h, items (array<int>), hot (array<long>): the numbers of a document's items whose key another document has too.
-
-    items() gives, in the task, a function from texts to (document index, 64-bit key) of their items, in
-    order. A row with a null doc_id names hot keys instead: keys in over a tenth of at least 64 blocks, of
-    which there can be only ten times as many as items in a block.
-    """
-    count = owners(docs)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = items()
-        for ids, hs, texts, _ in blocks(batches):
-            doc, key = cut(texts)
-            number = np.arange(len(doc)) - np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))])[doc] if len(doc) else doc
-            order = np.argsort(key, kind="stable")
-            k, d = key[order], ids[doc[order]]
-            head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
-            low, high = (np.minimum.reduceat(d, head), np.maximum.reduceat(d, head)) if len(k) else (d, d)
-            known = np.repeat(low < high, np.diff(np.append(head, len(k))))
-            sent = (~known).astype(np.uint8)
-            sent[head] = 1
-            # one entry a key, or all of its only document's; items that the block settles go along with
-            # their document, as settled
-            entry, settled = order[sent == 1], order[known]
-            flag = known[sent == 1].astype(np.uint8)
-            to = (key[entry] % U64(count)).astype(np.int64)
-            home = (hs[doc[settled]].view(U64) % U64(count)).astype(np.int64)
-            out = []
-            for b in range(count):
-                e, s = np.flatnonzero(to == b), np.sort(settled[home == b])
-                e = e[np.argsort(entry[e])]
-                x = entry[e]
-                if len(x) or len(s):
-                    used, dx = np.unique(np.concatenate([doc[x], doc[s]]), return_inverse=True)
-                    out.append((b, six(key[x]), flag[e].tobytes(), planes(dx.astype(np.uint32)), planes(number[np.concatenate([x, s])].astype(np.uint32)), ids[used].tobytes(), hs[used].tobytes()))
-            kinds = [pa.int32()] + [pa.binary()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], names=["bucket", "key", "flag", "doc", "number", "ids", "hs"])
+def steps(names: np.ndarray) -> bytes:
+    """Sorted names by their differences, whose high bytes are mostly zero."""
+    return planes(np.diff(names, prepend=U64(0)))
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, flags, docs_, numbers, ids, hs, done_d, done_n, at = [], [], [], [], [], [], [], [], 0
-        n_blocks = 0
+
+def unsteps(raw: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(raw, U64), dtype=U64)
+
+
+def bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes() if flags.any() else b""
+
+
+def unbits(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool) if raw else np.zeros(n, bool)
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """Documents as made by keyed(), dealt to blocks of about BLOCK_BYTES of text; rows alike in id and text share a block."""
+    count = partitions(docs.sparkSession)
+    size = docs.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()[0]
+    block = F.pmod(F.xxhash64("doc_id", "h"), F.lit(max(count, -(-size // BLOCK_BYTES)))).cast("int")
+    return docs.withColumn("block", block).repartition(count, "block")
+
+
+class Block:
+    """A block's documents, in an order that does not depend on how rows arrived."""
+
+    def __init__(self, table: pa.Table):
+        ids, hs = (table.column(c).to_numpy() for c in ("doc_id", "h"))
+        order = np.lexsort((hs, ids))
+        self.number, self.ids, self.hs = table.column("block")[0].as_py(), ids[order], hs[order]
+        texts = table.column("text").to_pylist()
+        self.texts: list[bytes] = [texts[i] for i in order.tolist()]
+        self.rest = table.take(pa.array(order)).drop_columns(["block", "doc_id", "h", "text"])
+
+
+Parts = list[bytes]
+Told = dict[tuple[int, int], Parts]
+ASKED = pa.schema([("owner", pa.int32()), ("block", pa.int32()), ("parts", pa.list_(pa.binary()))])
+TOLD = pa.schema([("block", pa.int32()), ("owner", pa.int32()), ("kind", pa.int32()), ("parts", pa.list_(pa.binary()))])
+
+
+def replies(table: pa.Table | None) -> Told:
+    """Answers by kind of question and owner."""
+    return {(r["kind"], r["owner"]): r["parts"] for r in table.to_pylist()} if table is not None else {}
+
+
+def converse(docs: DataFrame, told: DataFrame | None, kind: int, ask: Callable[[Block, Told], Iterator[tuple[int, Parts]]], own: Callable[[list[Parts]], list[Parts]]) -> DataFrame:
+    """One question of every block of dealt() to each owner, and the answers, again by block. own() sees all the questions to one owner and answers each."""
+    count = partitions(docs.sparkSession)
+
+    def put(left: pa.Table, right: pa.Table | None) -> pa.Table:
+        if not left.num_rows:
+            return ASKED.empty_table()
+        block = Block(left)
+        rows = [(owner, block.number, parts) for owner, parts in ask(block, replies(right))]
         trim()
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 3, ASKED)], schema=ASKED)
+
+    def first(left: pa.Table) -> pa.Table:
+        return put(left, None)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[int, list[dict]] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                key, dx, num = unsix(r["key"]), unplanes(r["doc"], np.uint32).astype(np.int64), unplanes(r["number"], np.uint32)
-                n = len(key)
-                keys.append(key | U64(r["bucket"] & 0xFFFF)), flags.append(np.frombuffer(r["flag"], np.uint8))
-                docs_.append(dx[:n] + at), numbers.append(num[:n]), done_d.append(dx[n:] + at), done_n.append(num[n:])
-                ids.append(np.frombuffer(r["ids"], np.int64)), hs.append(np.frombuffer(r["hs"], np.int64))
-                at += len(ids[-1])
-                n_blocks += 1
-        if not at:
-            return
-        keys, flags, docs_, numbers, ids, hs = map(np.concatenate, (keys, flags, docs_, numbers, ids, hs))
-        order = np.argsort(keys, kind="stable")
-        k, d = keys[order], ids[docs_[order]]
-        if len(k):
-            head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            size = np.diff(np.append(head, len(k)))
-            two = (np.minimum.reduceat(d, head) < np.maximum.reduceat(d, head)) | np.logical_or.reduceat(flags[order] > 0, head)
-            # a settled entry is among its block's settled items already
-            new = order[np.repeat(two, size) & (flags[order] == 0)]
-            hot = k[head][(size >= 64) & (size > n_blocks / 10)]
-        else:
-            new, hot = order, k
-        doc = np.concatenate([docs_[new], *done_d])
-        num = np.concatenate([numbers[new], *done_n])
-        # two blocks may hold the same document only if its row repeats: the row's own table entry is enough
-        order = np.lexsort((num, doc))
-        if len(order):
-            part = lists(doc[order], ids, hs, {"items": num[order]})
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.nulls(part.num_rows, pa.list_(pa.int64()))], names=["doc_id", "h", "items", "hot"])
-        if len(hot):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([hot.view(np.int64)])], names=["doc_id", "h", "items", "hot"])
-
-    sent = docs.select("doc_id", "h", "text").mapInArrow(send, "bucket int, key binary, flag binary, doc binary, number binary, ids binary, hs binary")
-    dealt = sent.repartition(count, "bucket")
-    found = materialize(dealt.mapInArrow(settle, "doc_id long, h long, items array<int>, hot array<long>"), "shared-items")
-    del sent, dealt
-    release(docs.sparkSession)
-    return found
-
-
-def by_document(found: DataFrame, *columns: str) -> DataFrame:
-    """Answers of all owners together: one row per document, lists of lists."""
-    return found.groupBy("doc_id", "h").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in columns])
-
-
-def hot_keys(found: DataFrame, count: int) -> np.ndarray:
-    """The top bits and bucket of hot keys, as settle() forms them."""
-    rows = found.where("hot is not null").select("hot").collect()
-    return np.unique(np.array([k for r in rows for k in r["hot"]], np.int64).view(U64))
-
-
-def short(key: np.ndarray, count: int) -> np.ndarray:
-    """A key as its owner knows it."""
-    return (key & ~U64(0xFFFF)) | (key % U64(count)) & U64(0xFFFF)
+                rows.setdefault(r["owner"], []).append(r)
+        while rows:
+            owner, mine = rows.popitem()
+            mine.sort(key=lambda r: r["block"])
+            for r, parts in zip(mine, own([r["parts"] for r in mine])):
+                yield pa.RecordBatch.from_pydict({"block": [r["block"]], "owner": [owner], "kind": [kind], "parts": [parts]}, schema=TOLD)
+        trim()
+
+    ddl = "owner int, block int, parts array<binary>"
+    by = docs.groupBy("block")
+    asked = by.applyInArrow(first, ddl) if told is None else by.cogroup(told.groupBy("block")).applyInArrow(put, ddl)
+    # owners are numbered as partitions are: one owner for each task
+    answers = asked.repartitionById(count, F.col("owner")).mapInArrow(settle, "block int, owner int, kind int, parts array<binary>")
+    return answers.repartition(count, "block")
+
+
+def finish(docs: DataFrame, told: DataFrame, close: Callable[[Block, Told], pa.Table], schema: str | object) -> DataFrame:
+    """What every block makes of its documents and all its answers."""
+
+    def end(left: pa.Table, right: pa.Table) -> pa.Table:
+        # a block without questions has no answers; answers always have their block
+        out = close(Block(left), replies(right))
+        trim()
+        return out
+
+    return docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(end, schema)
+
+
+def by_owner(key: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each owner that has any of the keys, and the places of its keys in order."""
+    owner = (key % U64(count)).astype(np.int64)
+    order = np.argsort(owner, kind="stable")
+    heads = np.flatnonzero(np.diff(owner[order], prepend=-1))
+    for x in np.split(order, heads[1:]) if len(order) else []:
+        yield int(owner[x[0]]), x
+
+
+class Keys:
+    """The distinct keys of a block's items: which item has which, and which keys two documents of the block have."""
+
+    def __init__(self, key: np.ndarray, doc_id: np.ndarray):
+        order = np.argsort(key, kind="stable")
+        k, d = key[order], doc_id[order]
+        head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+        self.keys, self.of = k[head], np.empty(len(k), np.int64)
+        self.of[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(k))))
+        self.shared = np.minimum.reduceat(d, head) < np.maximum.reduceat(d, head) if len(k) else np.zeros(0, bool)
+        self.hot = np.zeros(len(head), bool)
+
+    def ask(self, count: int) -> Iterator[tuple[int, Parts]]:
+        for owner, x in by_owner(self.keys, count):
+            yield owner, [steps(self.keys[x] >> SHORT)]
+
+    def hear(self, told: Told, count: int, kind: int = 0) -> Keys:
+        for owner, x in by_owner(self.keys, count):
+            shared, hot = told[kind, owner]
+            self.shared[x] |= unbits(shared, len(x))
+            self.hot[x] = unbits(hot, len(x))
+        return self
+
+
+def own_keys(asked: list[Parts]) -> list[Parts]:
+    """Which keys another block has too, and which are hot: in over a tenth of at least 64 blocks."""
+    names = [unsteps(parts[0]) for parts in asked]
+    _, at, size = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
+    size = size[at.reshape(-1)]
+    ends = np.cumsum([len(n) for n in names])
+    return [[bits(s > 1), bits((s >= 64) & (s > len(asked) / 10))] for s in np.split(size, ends[:-1])]
 
 
 def flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -39,12 +38,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files behind tables that are written by now; it follows the driver's garbage collector."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from termwright.llm import repeats as R
 from termwright.llm.repeats import NO_ID, U64, Powers, mix
-from termwright.llm.runtime import trim
+from termwright.llm.runtime import partitions
 
 GRAM = 20
 #: Windows sorted at once.
@@ -165,160 +165,106 @@ def contexts_classes(buf: np.ndarray, start: np.ndarray, size: np.ndarray, key:
     return cls
 
 
-def repeated_spans(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataFrame:
-    """doc_id, h and lists of start and size of byte ranges to remove; docs as made by repeats.keyed()."""
-    spark = docs.sparkSession
-
-    def items():
-        powers = Powers()
-
-        def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            text, _, _, key = anchors(texts, window, gram, powers)
-            return text, key
-
-        return cut
-
-    found = R.shared_items(docs, items)
-    count = R.owners(docs)
-    hot = spark.sparkContext.broadcast(R.hot_keys(found, count))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, squeeze = Powers(), zstd.ZstdCompressor(level=1).compress
-        names = ["bucket", "body", "size", "key", "doc", "at", "sdoc", "sat", "ssize", "ids", "hs"]
-        kinds = [pa.int32()] + [pa.binary()] * 10
-        for ids, hs, texts, rest in R.blocks(b.select([0, 1, 2, 3]) for b in batches):
-            live = [i for i, (x,) in enumerate(rest) if x]
-            if not live:
-                continue
-            texts, ids, hs, rest = [texts[i] for i in live], ids[live], hs[live], [rest[i] for i in live]
-            text, first, wins, key = anchors(texts, window, gram, powers)
-            heads = np.searchsorted(text, np.arange(len(texts)))
-            pick = np.unique(np.concatenate([heads[i] + np.array(x, np.int64) for i, (x,) in enumerate(rest)]))
-            text, first, wins, key = text[pick], first[pick], wins[pick], key[pick]
-            is_hot = np.isin(R.short(key, count), hot.value)
-            if is_hot.any():  # one window each, owned by its own bytes
-                w = wins[is_hot]
-                t2, f2 = np.repeat(text[is_hot], w), R.flat(first[is_hot], w)
-                text, first = np.concatenate([text[~is_hot], t2]), np.concatenate([first[~is_hot], f2])
-                wins, key = np.concatenate([wins[~is_hot], np.ones(len(t2), np.int64)]), np.concatenate([key[~is_hot], np.zeros(len(t2), U64)])
-            n = np.array([len(t) for t in texts])
-            base = np.cumsum(n) - n
-            buf = np.frombuffer(b"".join(texts), np.uint8)
-            start, size = base[text] + first, wins + window - 1
-            if is_hot.any():
-                alone = key == 0
-                key[alone] = mix(powers.at(powers.prefix(buf), start[alone], window)) | U64(1)
-            cls = contexts_classes(buf, start, size, key, powers)
-            # in this block the smallest document of a class stands for it; larger ones are settled
-            order = np.lexsort((start, ids[text], cls))
-            lead = order[np.flatnonzero(np.diff(cls[order], prepend=-1))]
-            least = np.empty(cls.max() + 1, np.int64)
-            least[cls[lead]] = ids[text[lead]]
-            done = ids[text] > least[cls]
-            member = np.flatnonzero(~done)
-            number = np.empty(cls.max() + 1, np.int64)
-            to, home = (key % U64(count)).astype(np.int64), (hs[text].view(U64) % U64(count)).astype(np.int64)
-            out = []
-            for b in range(count):
-                mine, settled, have = lead[to[lead] == b], np.flatnonzero(done & (home == b)), member[to[member] == b]
-                if not len(mine) and not len(settled):
-                    continue
-                number[cls[mine]] = np.arange(len(mine))
-                used, dx = np.unique(np.concatenate([text[have], text[settled]]), return_inverse=True)
-                out.append(
-                    (b, squeeze(buf[R.flat(start[mine], size[mine])].tobytes()), R.planes(size[mine].astype(np.uint32)), key[mine].tobytes(),
-                     R.planes(np.stack([dx[: len(have)], number[cls[have]]], 1).astype(np.uint32).reshape(-1)), R.planes(first[have].astype(np.uint32)),
-                     R.planes(dx[len(have) :].astype(np.uint32)), R.planes(first[settled].astype(np.uint32)), R.planes(size[settled].astype(np.uint32)), ids[used].tobytes(), hs[used].tobytes())
-                )
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trim()
-        powers, expand = Powers(), zstd.ZstdDecompressor().decompress
-        bodies, sizes, keys, mdoc, mctx, mat, sdoc, sat, ssize, ids, hs, d, c = [], [], [], [], [], [], [], [], [], [], [], 0, 0
-        for batch in batches:
-            for r in batch.to_pylist():
-                bodies.append(expand(r["body"])), sizes.append(R.unplanes(r["size"], np.uint32)), keys.append(np.frombuffer(r["key"], U64))
-                two = R.unplanes(r["doc"], np.uint32).reshape(-1, 2).astype(np.int64)
-                mdoc.append(two[:, 0] + d), mctx.append(two[:, 1] + c), mat.append(R.unplanes(r["at"], np.uint32))
-                sdoc.append(R.unplanes(r["sdoc"], np.uint32).astype(np.int64) + d), sat.append(R.unplanes(r["sat"], np.uint32)), ssize.append(R.unplanes(r["ssize"], np.uint32))
-                ids.append(np.frombuffer(r["ids"], np.int64)), hs.append(np.frombuffer(r["hs"], np.int64))
-                d, c = d + len(ids[-1]), c + len(sizes[-1])
-        if not d:
-            return
-        sizes, keys, mdoc, mctx, mat, sdoc, sat, ssize, ids, hs = (np.concatenate(x).astype(np.int64) if x[0].dtype == np.uint32 else np.concatenate(x) for x in (sizes, keys, mdoc, mctx, mat, sdoc, sat, ssize, ids, hs))
-        body = np.frombuffer(b"".join(bodies), np.uint8)
-        del bodies
-        starts = np.cumsum(sizes) - sizes
-        order = np.argsort(keys, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        by = np.argsort(rank[mctx], kind="stable")  # members in the order of their contexts
-        mdoc, mctx, mat = mdoc[by], rank[mctx[by]], mat[by]
-        k, sz, st = keys[order], sizes[order], starts[order]
-        wins = np.cumsum(sz - window + 1)
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(sdoc, sat, ssize)]
-        lo = 0
-        while lo < len(k):  # whole keys, about SORTED windows at a time
-            hi = int(np.searchsorted(wins, (wins[lo - 1] if lo else 0) + SORTED, side="right"))
-            hi = int(np.searchsorted(k, k[min(max(hi, lo + 1), len(k)) - 1], side="right"))
-            m0, m1 = np.searchsorted(mctx, [lo, hi])
-            size = sz[lo:hi]
-            buf = body[R.flat(st[lo:hi], size)]
-            start = np.cumsum(size) - size
-            cls = contexts_classes(buf, start, size, k[lo:hi], powers)
-            md, mc, ma = mdoc[m0:m1], cls[mctx[m0:m1] - lo], mat[m0:m1]
-            n_cls = cls.max() + 1
-            first = np.full(n_cls, hi, np.int64)
-            np.minimum.at(first, cls, np.arange(hi - lo))
-            least = np.full(n_cls, NO_ID, np.int64)
-            np.minimum.at(least, mc, ids[md])
-            csize = size[first]
-            over = ids[md] > least[mc]
-            got.append((md[over], ma[over], csize[mc[over]]))
-            # keys with several classes: sort the windows of one context of each class
-            one = np.sort(first)
-            key_of = np.unique(k[lo:hi][one], return_inverse=True)[1].reshape(-1)
-            many = np.bincount(key_of)[key_of] > 1
-            one, key_of = one[many], key_of[many]
-            if len(one):
-                w = size[one] - window + 1
-                owner = np.repeat(one, w)
-                at = R.flat(start[one], w)
-                group = np.repeat(key_of, w)
-                line = np.argsort(group, kind="stable")
-                same = classes(buf, at[line], group[line], window, powers)
-                low = np.full(same.max() + 1, NO_ID, np.int64)
-                np.minimum.at(low, same, least[cls[owner[line]]])
-                worse = np.zeros(len(at), bool)
-                worse[line] = low[same] < least[cls[owner[line]]]
-                # the smallest document of a class loses the windows that a smaller one has elsewhere
-                head = np.flatnonzero(worse & ~np.concatenate([[False], worse[:-1] & (owner[1:] == owner[:-1])]))
-                tail = np.flatnonzero(worse & ~np.concatenate([worse[1:] & (owner[1:] == owner[:-1]), [False]]))
-                if len(head):
-                    scls, off, ln = cls[owner[head]], at[head] - start[owner[head]], tail - head + window
-                    mine = np.flatnonzero(~over)
-                    mine = mine[np.argsort(mc[mine], kind="stable")]
-                    a, b = np.searchsorted(mc[mine], scls), np.searchsorted(mc[mine], scls, side="right")
-                    which = mine[R.flat(a, b - a)]
-                    got.append((md[which], ma[which] + np.repeat(off, b - a), np.repeat(ln, b - a)))
-            lo = hi
-        doc, at, size = (np.concatenate(x) for x in zip(*got))
-        order = np.lexsort((at, doc))
-        doc, at, size = doc[order], at[order], size[order]
-        if len(doc):  # ranges that touch become one
-            end = at + size
-            big = int(end.max()) + 1
-            reach = np.maximum.accumulate(end + doc * big) - doc * big
-            head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] > reach[:-1])]))
-            tail = np.append(head[1:], len(doc)) - 1
-            doc, at, size = doc[head], at[head], reach[tail] - at[head]
-            yield R.lists(doc, ids, hs, {"at": at, "size": size})
-
-    asked = docs.join(R.by_document(found.where("items is not null"), "items"), ["doc_id", "h"], "left").select("doc_id", "h", "text", "items", *docs.columns[3:])
-    sent = asked.mapInArrow(send, "bucket int, body binary, size binary, key binary, doc binary, at binary, sdoc binary, sat binary, ssize binary, ids binary, hs binary")
-    return sent.repartition(count, "bucket").mapInArrow(settle, "doc_id long, h long, at array<int>, size array<int>")
+class Contexts:
+    """A block's runs of windows with one anchor and, once owners have told which anchors are shared, the classes of their contexts."""
+
+    def __init__(self, block: R.Block, window: int, gram: int):
+        self.block, self.window = block, window
+        self.powers = Powers()
+        self.text, self.first, self.wins, self.key = anchors(block.texts, window, gram, self.powers)
+        self.anchors = R.Keys(self.key, block.ids[self.text])
+
+    def hear(self, told: R.Told, count: int) -> Contexts:
+        known = self.anchors.hear(told, count)
+        pick = np.flatnonzero(known.shared[known.of])
+        text, first, wins, key, hot = self.text[pick], self.first[pick], self.wins[pick], self.key[pick], known.hot[known.of[pick]]
+        n = np.array([len(t) for t in self.block.texts])
+        base = np.cumsum(n) - n
+        self.buf = np.frombuffer(b"".join(self.block.texts), np.uint8)
+        if hot.any():  # one window each, owned by its own bytes
+            w = wins[hot]
+            t2, f2 = np.repeat(text[hot], w), R.flat(first[hot], w)
+            own = mix(self.powers.at(self.powers.prefix(self.buf), base[t2] + f2, self.window))
+            text, first = np.concatenate([text[~hot], t2]), np.concatenate([first[~hot], f2])
+            wins, key = np.concatenate([wins[~hot], np.ones(len(t2), np.int64)]), np.concatenate([key[~hot], own])
+        self.start, self.size = base[text] + first, wins + self.window - 1
+        self.cls = contexts_classes(self.buf, self.start, self.size, key, self.powers)
+        self.ids = self.block.ids[text]
+        # the smallest document of a class stands for it
+        order = np.lexsort((self.start, self.ids, self.cls))
+        self.lead = order[np.flatnonzero(np.diff(self.cls[order], prepend=-1))]
+        line = np.argsort(key[self.lead], kind="stable")
+        self.lead = self.lead[line]
+        number = np.empty(len(line), np.int64)
+        number[line] = np.arange(len(line))
+        self.cls = number[self.cls]
+        self.names, self.least = key[self.lead], self.ids[self.lead]
+        return self
+
+
+def own_contexts(asked: list[R.Parts], window: int) -> list[R.Parts]:
+    """Which contexts a smaller document of another block has whole, and the ranges of others whose windows a smaller document has."""
+    powers, expand = Powers(), zstd.ZstdDecompressor().decompress
+    body = np.frombuffer(b"".join(expand(p[0]) for p in asked), np.uint8)
+    sizes, keys, least = (np.concatenate([f(p[i]) for p in asked]) for i, f in ((1, lambda x: R.unplanes(x, np.uint32).astype(np.int64)), (2, R.unsteps), (3, lambda x: R.unplanes(x, np.int64))))
+    ends = np.cumsum([len(p[1]) // 4 for p in asked])
+    starts = np.cumsum(sizes) - sizes
+    order = np.argsort(keys, kind="stable")
+    k, sz, st, ids = keys[order], sizes[order], starts[order], least[order]
+    wins = np.cumsum(sz - window + 1)
+    whole = np.zeros(len(k), bool)
+    got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
+    lo = 0
+    while lo < len(k):  # whole keys, about SORTED windows at a time
+        hi = int(np.searchsorted(wins, (wins[lo - 1] if lo else 0) + SORTED, side="right"))
+        hi = int(np.searchsorted(k, k[min(max(hi, lo + 1), len(k)) - 1], side="right"))
+        size = sz[lo:hi]
+        buf = body[R.flat(st[lo:hi], size)]
+        start = np.cumsum(size) - size
+        cls = contexts_classes(buf, start, size, k[lo:hi], powers)
+        n_cls = cls.max() + 1
+        first = np.full(n_cls, hi, np.int64)
+        np.minimum.at(first, cls, np.arange(hi - lo))
+        low = np.full(n_cls, NO_ID, np.int64)
+        np.minimum.at(low, cls, ids[lo:hi])
+        over = ids[lo:hi] > low[cls]
+        whole[order[lo:hi]] = over
+        # keys with several classes: sort the windows of one context of each class
+        one = np.sort(first)
+        key_of = np.unique(k[lo:hi][one], return_inverse=True)[1].reshape(-1)
+        many = np.bincount(key_of)[key_of] > 1
+        one, key_of = one[many], key_of[many]
+        if len(one):
+            w = size[one] - window + 1
+            owner = np.repeat(one, w)
+            at = R.flat(start[one], w)
+            group = np.repeat(key_of, w)
+            line = np.argsort(group, kind="stable")
+            same = classes(buf, at[line], group[line], window, powers)
+            mine = low[cls[owner]]
+            best = np.full(same.max() + 1, NO_ID, np.int64)
+            np.minimum.at(best, same, mine[line])
+            worse = np.zeros(len(at), bool)
+            worse[line] = best[same] < mine[line]
+            # the smallest document of a class loses the windows that a smaller one has elsewhere
+            head = np.flatnonzero(worse & ~np.concatenate([[False], worse[:-1] & (owner[1:] == owner[:-1])]))
+            tail = np.flatnonzero(worse & ~np.concatenate([worse[1:] & (owner[1:] == owner[:-1]), [False]]))
+            if len(head):
+                scls, off, ln = cls[owner[head]], at[head] - start[owner[head]], tail - head + window
+                holds = np.flatnonzero(~over)
+                holds = holds[np.argsort(cls[holds], kind="stable")]
+                a, b = np.searchsorted(cls[holds], scls), np.searchsorted(cls[holds], scls, side="right")
+                got.append((order[lo + holds[R.flat(a, b - a)]], np.repeat(off, b - a), np.repeat(ln, b - a)))
+        lo = hi
+    ctx, off, ln = (np.concatenate(x) for x in zip(*got))
+    line = np.argsort(ctx, kind="stable")
+    ctx, off, ln = ctx[line], off[line], ln[line]
+    out, lo = [], 0
+    for hi in ends.tolist():
+        a, b = np.searchsorted(ctx, [lo, hi])
+        out.append([R.bits(whole[lo:hi]), *(R.planes(x.astype(np.uint32)) for x in (ctx[a:b] - lo, off[a:b], ln[a:b]))])
+        lo = hi
+    return out
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
@@ -333,22 +279,47 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     other. Removal may cut a multi-byte character; kept is binary. An empty table gives an empty result;
     other columns are ignored.
     """
-    base = R.keyed(docs, id_col, text_col, carry)
-    spans = R.by_document(repeated_spans(base, window, gram), "at", "size")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for d, h, t, at, size in zip(*(b.column(i).to_pylist() for i in range(5))):
-                gone = R.union(np.array(at or [], np.int64), np.array(size or [], np.int64), len(t))
-                kept = np.frombuffer(t, np.uint8)[~gone].tobytes() if gone.any() else t
-                n_spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                rows.append((None if d == NO_ID else d, h, len(t), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if as_text else kept))
-            kinds = [pa.int64()] * 5 + [pa.string(), pa.string() if as_text else pa.binary()]
-            arrays = [pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 7, kinds)] + b.columns[5:]
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
-
-    joined = base.join(spans, ["doc_id", "h"], "left").select("doc_id", "h", "text", "at", "size", *base.columns[3:])
+    count = partitions(docs.sparkSession)
+    base = R.dealt(R.keyed(docs, id_col, text_col, carry))
+
+    def ask_anchors(block: R.Block, told: R.Told) -> Iterator[tuple[int, R.Parts]]:
+        return Contexts(block, window, gram).anchors.ask(count)
+
+    def ask_contexts(block: R.Block, told: R.Told) -> Iterator[tuple[int, R.Parts]]:
+        c, squeeze = Contexts(block, window, gram).hear(told, count), zstd.ZstdCompressor(level=1).compress
+        for owner, x in R.by_owner(c.names, count):
+            start, size = c.start[c.lead[x]], c.size[c.lead[x]]
+            yield owner, [squeeze(c.buf[R.flat(start, size)].tobytes()), R.planes(size.astype(np.uint32)), R.steps(c.names[x] >> R.SHORT), R.planes(c.least[x])]
+
+    def cut(block: R.Block, told: R.Told) -> pa.Table:
+        c = Contexts(block, window, gram).hear(told, count)
+        whole = np.zeros(len(c.lead), bool)
+        ranges: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
+        for owner, x in R.by_owner(c.names, count):
+            parts = told[1, owner]
+            whole[x] = R.unbits(parts[0], len(x))
+            of, off, ln = (R.unplanes(p, np.uint32).astype(np.int64) for p in parts[1:])
+            ranges.append((x[of], off, ln))
+        of, off, ln = (np.concatenate(r) for r in zip(*ranges))
+        over = whole[c.cls] | (c.ids > c.least[c.cls])
+        # ranges go to all of the class that do not lose it whole
+        rest = np.flatnonzero(~over)
+        rest = rest[np.argsort(c.cls[rest], kind="stable")]
+        a, b = np.searchsorted(c.cls[rest], of), np.searchsorted(c.cls[rest], of, side="right")
+        start = np.concatenate([c.start[over], c.start[rest[R.flat(a, b - a)]] + np.repeat(off, b - a)])
+        gone = R.union(start, np.concatenate([c.size[over], np.repeat(ln, b - a)]), len(c.buf))
+        rows, at = [], 0
+        for d, h, t in zip(block.ids.tolist(), block.hs.tolist(), block.texts):
+            g = gone[at : at + len(t)]
+            kept = c.buf[at : at + len(t)][~g].tobytes() if g.any() else t
+            n_spans = int(np.count_nonzero(np.diff(g.astype(np.int8), prepend=0) == 1))
+            rows.append((None if d == NO_ID else d, h, len(t), int(g.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if as_text else kept))
+            at += len(t)
+        kinds = [pa.int64()] * 5 + [pa.string(), pa.string() if as_text else pa.binary()]
+        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)] + block.rest.columns, names=[f.name for f in schema])
+
     schema = T.StructType.fromDDL("doc_id long, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept " + ("string" if as_text else "binary"))
-    schema = T.StructType([*schema, *base.select(*base.columns[3:]).schema])
-    return joined.mapInArrow(cut, schema)
+    schema = T.StructType([*schema, *base.select(*(["carry"] if carry else [])).schema])
+    shared = R.converse(base, None, 0, ask_anchors, R.own_keys)
+    repeated = R.converse(base, shared, 1, ask_contexts, lambda asked: own_contexts(asked, window))
+    return R.finish(base, shared.unionByName(repeated), cut, schema)
