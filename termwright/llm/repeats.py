@@ -183,7 +183,7 @@ class Keys:
     """The distinct keys of a block's items: which item has which, and which keys two documents of the block have."""
 
     def __init__(self, key: np.ndarray, doc_id: np.ndarray):
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         k, d = key[order], doc_id[order]
         head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         self.keys, self.of = k[head], np.empty(len(k), np.int64)

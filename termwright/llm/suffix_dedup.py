@@ -1,12 +1,12 @@
 """Exact removal of repeated byte strings by a hash-compared suffix sort.
 
 Every 50-byte window names an anchor: the leftmost gram with the least hash inside it, which the window's
-bytes alone decide. Windows whose anchor no other document has can't repeat and go no further. The others
-travel, with the bytes around their anchor, to the owner of the anchor. There equal contexts become one
-class, and where an anchor has several classes their windows are sorted as suffixes: a merge sort whose
-comparisons find the common extension by binary search over prefix polynomial hashes. Neighbours that agree
-on 50 bytes are compared byte by byte before they count as equal, and the smallest doc_id of a window's
-class decides what is removed.
+bytes alone decide. Windows whose anchor no other document has can't repeat and go no further. Of the others,
+two unlike 64-bit hashes of the bytes around the anchor go to its owner, which knows equal contexts by both
+hashes. Where an anchor has several contexts, one document of each sends its bytes, and their windows are
+sorted as suffixes: a merge sort whose comparisons find the common extension by binary search over prefix
+polynomial hashes. Neighbours that agree on 50 bytes are compared byte by byte before they count as equal,
+and the smallest doc_id of a window's class decides what is removed.
 """
 
 from __future__ import annotations
@@ -199,8 +199,55 @@ class Contexts:
         number[line] = np.arange(len(line))
         self.cls = number[self.cls]
         self.names, self.least = key[self.lead], self.ids[self.lead]
+        self.whole, self.speaks = np.zeros(len(line), bool), np.zeros(len(line), bool)
         return self
 
+    def judged(self, told: R.Told, count: int) -> Contexts:
+        """With what the owners made of the contexts' hashes."""
+        for owner, x in R.by_owner(self.names, count):
+            whole, speaks = told[1, owner]
+            self.whole[x], self.speaks[x] = R.unbits(whole, len(x)), R.unbits(speaks, len(x))
+        return self
+
+    def speakers(self, count: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each owner and the contexts whose bytes it must see."""
+        at = np.flatnonzero(self.speaks)
+        for owner, x in R.by_owner(self.names[at], count):
+            yield owner, at[x]
+
+
+def second_hash(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of byte ranges that is unlike the polynomial one: eight bytes at a time, each step scrambled."""
+    h = mix(size.astype(U64) + U64(0x5851F42D4C957F2D))
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    for at in range(0, int(size.max(initial=0)), 8):
+        x = np.flatnonzero(size > at)
+        word = np.ascontiguousarray(eight[start[x] + at]).view(U64).reshape(-1)
+        short = np.minimum(size[x] - at, 8).astype(U64)
+        h[x] = mix(h[x] * U64(0x9E3779B97F4A7C15) ^ (word & (~U64(0) >> (U64(8) * (U64(8) - short)))))
+    return h
+
+
+def own_hashes(asked: list[R.Parts]) -> list[R.Parts]:
+    """Which contexts a smaller document of another block has whole, and which ones speak for their class where an anchor has several."""
+    keys = np.concatenate([R.unsteps(p[0]) for p in asked])
+    one, two = (np.concatenate([np.frombuffer(p[i], U64) for p in asked]) for i in (1, 2))
+    least = np.concatenate([R.unplanes(p[3], np.int64) for p in asked])
+    order = np.lexsort((two, one, keys))
+    k = keys[order]
+    new_key = np.concatenate([[True], k[1:] != k[:-1]])
+    new = new_key | np.concatenate([[True], (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])])
+    heads = np.flatnonzero(new)
+    low = np.repeat(np.minimum.reduceat(least[order], heads), np.diff(np.append(heads, len(k))))
+    anchor = np.cumsum(new_key) - 1
+    several = np.bincount(anchor, new)[anchor] > 1
+    whole, speaks = np.zeros(len(k), bool), np.zeros(len(k), bool)
+    whole[order] = least[order] > low
+    speaks[order] = several & (least[order] == low)
+    ends = np.cumsum([len(p[1]) // 8 for p in asked])[:-1]
+    return [[R.bits(w), R.bits(s)] for w, s in zip(np.split(whole, ends), np.split(speaks, ends))]
+
 
 def own_contexts(asked: list[R.Parts], window: int) -> list[R.Parts]:
     """Which contexts a smaller document of another block has whole, and the ranges of others whose windows a smaller document has."""
@@ -285,19 +332,26 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     def ask_anchors(block: R.Block, told: R.Told) -> Iterator[tuple[int, R.Parts]]:
         return Contexts(block, window, gram).anchors.ask(count)
 
-    def ask_contexts(block: R.Block, told: R.Told) -> Iterator[tuple[int, R.Parts]]:
-        c, squeeze = Contexts(block, window, gram).hear(told, count), zstd.ZstdCompressor(level=1).compress
+    def ask_hashes(block: R.Block, told: R.Told) -> Iterator[tuple[int, R.Parts]]:
+        c = Contexts(block, window, gram).hear(told, count)
+        start, size = c.start[c.lead], c.size[c.lead]
+        one, two = mix(c.powers.at(c.powers.prefix(c.buf), start, size)), second_hash(c.buf, start, size)
         for owner, x in R.by_owner(c.names, count):
+            yield owner, [R.steps(c.names[x] >> R.SHORT), one[x].tobytes(), two[x].tobytes(), R.planes(c.least[x])]
+
+    def ask_contexts(block: R.Block, told: R.Told) -> Iterator[tuple[int, R.Parts]]:
+        c, squeeze = Contexts(block, window, gram).hear(told, count).judged(told, count), zstd.ZstdCompressor(level=1).compress
+        for owner, x in c.speakers(count):
             start, size = c.start[c.lead[x]], c.size[c.lead[x]]
             yield owner, [squeeze(c.buf[R.flat(start, size)].tobytes()), R.planes(size.astype(np.uint32)), R.steps(c.names[x] >> R.SHORT), R.planes(c.least[x])]
 
     def cut(block: R.Block, told: R.Told) -> pa.Table:
-        c = Contexts(block, window, gram).hear(told, count)
-        whole = np.zeros(len(c.lead), bool)
+        c = Contexts(block, window, gram).hear(told, count).judged(told, count)
+        whole = c.whole
         ranges: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
-        for owner, x in R.by_owner(c.names, count):
-            parts = told[1, owner]
-            whole[x] = R.unbits(parts[0], len(x))
+        for owner, x in c.speakers(count):
+            parts = told[2, owner]
+            whole[x] |= R.unbits(parts[0], len(x))
             of, off, ln = (R.unplanes(p, np.uint32).astype(np.int64) for p in parts[1:])
             ranges.append((x[of], off, ln))
         of, off, ln = (np.concatenate(r) for r in zip(*ranges))
@@ -321,5 +375,6 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     schema = T.StructType.fromDDL("doc_id long, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept " + ("string" if as_text else "binary"))
     schema = T.StructType([*schema, *base.select(*(["carry"] if carry else [])).schema])
     shared = R.converse(base, None, 0, ask_anchors, R.own_keys)
-    repeated = R.converse(base, shared, 1, ask_contexts, lambda asked: own_contexts(asked, window))
-    return R.finish(base, shared.unionByName(repeated), cut, schema)
+    judged = shared.unionByName(R.converse(base, shared, 1, ask_hashes, own_hashes))
+    repeated = R.converse(base, judged, 2, ask_contexts, lambda asked: own_contexts(asked, window))
+    return R.finish(base, judged.unionByName(repeated), cut, schema)
