@@ -17,45 +17,60 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from termwright.llm.runtime import id_text, materialize, partitions
 
 SEED = 42
 #: Shingles whose bits are counted at once, which bounds memory on very long texts.
 BLOCK = 1 << 15
-NO_ID = (1 << 63) - 1
 FREE = list(combinations(range(8), 2))
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """64 majority bits of the XXH64 of all word shingles; 0 without words; the whole sequence if it is shorter."""
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of all word shingles, a block at a time; nothing without words; of the whole sequence if it is shorter."""
     toks = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not toks:
-        return 0
+        return
     joined = b" ".join(toks)
     k = min(words, len(toks))
     ends = [e + i for i, e in enumerate(accumulate(map(len, toks)))]
     starts = [0, *(e + 1 for e in ends)]
     n = len(toks) - k + 1
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, BLOCK):
         to = min(n, at + BLOCK)
-        h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[at:to], ends[at + k - 1 : to + k - 1])), np.uint64, to - at)
+        yield np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[at:to], ends[at + k - 1 : to + k - 1])), np.uint64, to - at)
+
+
+def majority(blocks: Iterator[np.ndarray]) -> int:
+    """64 majority bits of hashes; 0 without any."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in blocks:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """64 majority bits of the XXH64 of all word shingles; 0 without words; the whole sequence if it is shorter."""
+    return majority(shingle_hashes(text, words))
+
+
+def row_key(text_col: str = "text") -> Column:
+    """With the doc_id, what tells rows apart; rows that agree in both are the same document."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """doc_id and its fingerprint as a signed long."""
+    """doc_id, its fingerprint as a signed long, and the row key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), b.column(2)], names=["doc_id", "fp", "row_key"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return id_text(docs, id_col, text_col).withColumn("row_key", row_key()).mapInArrow(run, "doc_id long, fp long, row_key long")
 
 
 def list_links(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -98,35 +113,35 @@ def list_links(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
 
 
 def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
-    """Verified links (a, b) between the ids of distinct fingerprints; fps has fp and rep, its smallest id."""
+    """Verified links (a, b) between distinct fingerprints; fps has fp."""
     if not 0 <= max_bits <= 2:
         raise ValueError("the six-of-eight filter guarantees links of at most two bits")
     keep = [int(np.uint64(~((0xFF << 8 * i) | (0xFF << 8 * j)) & (1 << 64) - 1).astype(np.int64)) for i, j in FREE]
     lists = F.array(*[F.struct(F.lit(k).cast("byte").alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(keep)])
-    posted = fps.select(F.explode(lists).alias("x"), "fp", "rep").select("x.k", "x.key", "fp", "rep")
+    posted = fps.select(F.explode(lists).alias("x"), "fp").select("x.k", "x.key", "fp")
     dealt = posted.repartition(partitions(fps.sparkSession), "k", "key").sortWithinPartitions("k", "key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def found(cols: list[np.ndarray]) -> pa.RecordBatch:
-            k, key, fp, rep = cols
+            k, key, fp = cols
             cut = np.flatnonzero((k[1:] != k[:-1]) | (key[1:] != key[:-1])) + 1
             edge = np.concatenate([[0], cut, [len(k)]])
             size = np.diff(edge)
             a, b = [], []
             two = edge[:-1][size == 2]
             near = two[np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= max_bits]
-            a.append(rep[near]), b.append(rep[near + 1])
+            a.append(fp[near]), b.append(fp[near + 1])
             for s, n in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist()):
                 order = s + np.argsort(fp[s : s + n].view(np.uint64))
                 for i, j in list_links(fp[order].view(np.uint64), max_bits):
-                    a.append(rep[order[i : i + 1]]), b.append(rep[order[j : j + 1]])
+                    a.append(fp[order[i : i + 1]]), b.append(fp[order[j : j + 1]])
             x, y = np.concatenate(a), np.concatenate(b)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
         for batch in batches:
-            cols = [np.asarray(batch.column(i)) for i in range(4)]
+            cols = [np.asarray(batch.column(i)) for i in range(3)]
             if held:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1])) if len(cols[0]) else []
@@ -168,21 +183,37 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     count as one document. A null doc_id ranks after every id; a class of null ids only has a null component.
     An empty table gives an empty result. Other columns are ignored.
     """
+    return found_classes(docs, id_col, text_col, words, max_bits).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def found_classes(docs: DataFrame, id_col: str, text_col: str, words: int, max_bits: int) -> DataFrame:
+    """doc_id, row_key, fp and component_id of every row."""
     docs_fp = materialize(with_fingerprints(docs, id_col, text_col, words), "fingerprints")
-    fps = materialize(docs_fp.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("rep")), "distinct-fingerprints")
-    stars = components(links(fps, max_bits))
-    classes = materialize(
-        fps.join(stars, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "classes"
-    )
-    # fingerprints whose copies carry different smallest ids can't be in one class unless a repeated doc_id ties them
-    return docs_fp.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id")
-    )
+    fps = docs_fp.select("fp").distinct()
+    return with_components(docs_fp, links(fps, max_bits), "fp")
+
+
+def with_components(rows: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """Adds component_id, the smallest doc_id of each row's class: nodes are tied by edges (a, b) and by doc_ids they share."""
+    known = rows.where("doc_id IS NOT NULL")
+    first = known.groupBy("doc_id").agg(F.min(node).alias("a"), F.max(node).alias("z")).where("a <> z").select("doc_id", "a")
+    ties = known.join(first, "doc_id").select("a", F.col(node).alias("b")).where("a <> b").distinct()
+    stars = components(edges.select("a", "b").unionByName(ties))
+    ids = rows.groupBy(F.col(node).alias("node")).agg(F.min("doc_id").alias("least"))
+    classes = ids.join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "least")
+    classes = materialize(classes, "classes")
+    least = classes.groupBy("class").agg(F.min("least").alias("component_id"))
+    of = materialize(classes.join(least, "class").select(F.col("node").alias(node), "component_id"), "class-ids")
+    return rows.join(of, node)
 
 
 def near_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
-    """Rows of the smallest doc_id of every class, all their columns unchanged, whatever those are called."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("row_id"))
-    found = near_dedup(docs, id_col, text_col, words, max_bits)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("d")).distinct()
-    return whole.join(gone, F.col("row_id").eqNullSafe(F.col("d")), "left_anti").select("row.*")
+    """Rows of the smallest doc_id of every class, all their columns unchanged, whatever those are called; all rows of a class without ids."""
+    return without_copies(docs, found_classes(docs, id_col, text_col, words, max_bits), id_col, text_col)
+
+
+def without_copies(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of docs but those that found, which has their doc_id and row_key, puts in the class of another doc_id."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("row_id"), row_key(text_col).alias("key"))
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("d"), "row_key").distinct()
+    return whole.join(gone, (F.col("key") == F.col("row_key")) & F.col("row_id").eqNullSafe(F.col("d")), "left_anti").select("row.*")

@@ -128,6 +128,25 @@ def test_op2(docs, empty):
     assert set(simhash.near_filter(docs).columns) == set(docs.columns)
 
 
+def test_near_filter_keeps_rows_of_null_and_repeated_ids(spark):
+    a, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in ("left", "mid", "right"))
+    # near: one space more is the same fingerprint; (None, a) and (None, c) tie nothing; doc 7 has two texts and so ties those of 8 and 9
+    rows = [(5, a), (None, a + " "), (9, c), (None, c + " "), (None, "alone " * 30), (None, "alone too " * 30), (7, d), (7, "second text of seven " * 9), (8, d + " "), (10, " second text of seven" * 9), (11, "of its own " * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [r for r in rows if r not in [(None, a + " "), (None, c + " "), (8, d + " "), (10, " second text of seven" * 9)]]
+    assert collect(simhash.near_filter(docs), "doc_id", "text") == sorted(want, key=repr)
+    ids = {r.doc_id: r.component_id for r in simhash.near_dedup(docs).collect() if r.doc_id is not None}
+    assert ids == {5: 5, 9: 9, 7: 7, 8: 7, 10: 7, 11: 11}
+
+
+def test_a_repeated_id_ties_classes_with_smaller_ids(spark):
+    d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in ("right", "far"))
+    # each text of doc 7 has a copy with a smaller id, so neither is 7's own class
+    docs = spark.createDataFrame([(7, d), (7, e), (2, d + " "), (3, e + " ")], "doc_id long, text string")
+    assert {r.component_id for r in simhash.near_dedup(docs).collect()} == {2}
+    assert collect(simhash.near_filter(docs), "doc_id", "text") == [(2, d + " ")]
+
+
 def test_long_posting_lists_keep_every_link():
     rng = np.random.default_rng(3)
     fps = np.unique(rng.integers(0, 1 << 16, 900).astype(np.uint64))
