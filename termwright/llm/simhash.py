@@ -25,6 +25,10 @@ SEED = 42
 #: Shingles whose bits are counted at once, which bounds memory on very long texts.
 BLOCK = 1 << 15
 FREE = list(combinations(range(8), 2))
+#: Exclusive-or masks and odd factors of 24 min-wise samples.
+MINWISE = np.random.default_rng(SEED).integers(0, 1 << 64, (24, 2), np.uint64) | np.array([0, 1], np.uint64)
+#: Posting lists of near_prints up to this length are compared pair by pair.
+ALL_PAIRS = 16
 
 
 def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
@@ -217,3 +221,111 @@ def without_copies(docs: DataFrame, found: DataFrame, id_col: str, text_col: str
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("row_id"), row_key(text_col).alias("key"))
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("d"), "row_key").distinct()
     return whole.join(gone, (F.col("key") == F.col("row_key")) & F.col("row_id").eqNullSafe(F.col("d")), "left_anti").select("row.*")
+
+
+def near_prints(text: str | None, words: int) -> list[int]:
+    """Four fingerprints of eight positional bytes: the SimHash, and three whose bytes are min-wise samples of the shingles.
+
+    Two texts agree in a min-wise byte with the chance of their Jaccard similarity, 0.8 at 0.8, where a
+    SimHash byte agrees with 0.27: three times six of eight find 99 % of such pairs, SimHash next to none.
+    """
+    blocks = list(shingle_hashes(text, words))
+    low = np.full(len(MINWISE), (1 << 64) - 1, np.uint64)
+    for h in blocks:
+        for at in range(0, len(h), 2048):
+            np.minimum(low, ((h[at : at + 2048, None] ^ MINWISE[:, 0]) * MINWISE[:, 1]).min(axis=0), out=low)
+    byte = (((low ^ (low >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
+    return [majority(iter(blocks)), *byte.view(np.uint64).tolist()]
+
+
+def list_pairs(fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of one posting list: all of a short one; in a long one each entry with the next, the first, and the first of the commonest fingerprint.
+
+    The list is in the order of node, so that lists with the same entries give the same pairs.
+    """
+    if len(node) <= ALL_PAIRS:
+        i, j = np.triu_indices(len(node), 1)
+        return node[i], node[j]
+    values, first, often = np.unique(fp, return_index=True, return_counts=True)
+    hub = node[first[often.argmax()]]
+    rest = node[1:]
+    return np.concatenate([node[:-1], np.full(len(rest), node[0]), np.full(len(node), hub)]), np.concatenate([rest, rest, node])
+
+
+def candidates(prints: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of nodes that share six of eight bytes of a fingerprint; prints has node and f0 to f3."""
+    keep = [int(np.uint64(~((0xFF << 8 * i) | (0xFF << 8 * j)) & (1 << 64) - 1).astype(np.int64)) for i, j in FREE]
+    posts = [F.struct(F.lit(f * len(FREE) + k).cast("short").alias("k"), F.col(f"f{f}").bitwiseAND(F.lit(m)).alias("key"), F.col(f"f{f}").alias("fp")) for f in range(4) for k, m in enumerate(keep)]
+    posted = prints.select(F.explode(F.array(*posts)).alias("x"), "node").select("x.k", "x.key", "x.fp", "node")
+    dealt = posted.repartition(partitions(prints.sparkSession), "k", "key").sortWithinPartitions("k", "key", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def found(cols: list[np.ndarray]) -> pa.RecordBatch:
+            k, key, fp, node = cols
+            edge = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]) | (key[1:] != key[:-1])) + 1, [len(k)]])
+            size = np.diff(edge)
+            two = edge[:-1][size == 2]
+            a, b = [node[two]], [node[two + 1]]
+            for s, n in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist()):
+                x, y = list_pairs(fp[s : s + n], node[s : s + n])
+                a.append(x), b.append(y)
+            x, y = np.concatenate(a), np.concatenate(b)
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            cols = [np.asarray(batch.column(i)) for i in range(4)]
+            if held:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1])) if len(cols[0]) else []
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield found([c[:cut] for c in cols])
+            held = [c[cut:] for c in cols]
+        if held and len(held[0]):
+            yield found(held)
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def similar(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs whose sets of shingles have a Jaccard similarity of at least `least`; texts has node and text."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                hashes = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t.as_py(), words)])).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.binary())], names=["node", "hashes"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for p, q in zip(b.column(2), b.column(3)):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (p, q))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
+                good.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    hashed = materialize(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", "text").mapInArrow(sets, "node long, hashes binary"), "shingle-sets")
+    one, two = (hashed.select(F.col("node").alias(n), F.col("hashes").alias(f"{n}_hashes")) for n in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "a_hashes", "b_hashes").mapInArrow(verified, "a long, b long")
+
+
+def similar_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """Rows of the smallest doc_id of every class of texts that verified pairs of at least that Jaccard similarity tie; columns and null ids as in near_filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = np.array([near_prints(t.as_py(), words) for t in b.column(1)], np.uint64).reshape(-1, 4).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(prints[:, i].copy()) for i in range(4))], names=["doc_id", "row_key", "f0", "f1", "f2", "f3"])
+
+    keyed = id_text(docs, id_col, text_col).withColumn("row_key", row_key())
+    rows = materialize(keyed.mapInArrow(run, "doc_id long, row_key long, f0 long, f1 long, f2 long, f3 long"), "near-prints")
+    pairs = materialize(candidates(rows.select(F.col("row_key").alias("node"), "f0", "f1", "f2", "f3").distinct()), "candidates")
+    texts = keyed.select(F.col("row_key").alias("node"), "text")
+    edges = similar(pairs, texts, words, least)
+    return without_copies(docs, with_components(rows.select("doc_id", "row_key"), edges, "row_key"), id_col, text_col)

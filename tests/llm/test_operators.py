@@ -147,6 +147,32 @@ def test_a_repeated_id_ties_classes_with_smaller_ids(spark):
     assert collect(simhash.near_filter(docs), "doc_id", "text") == [(2, d + " ")]
 
 
+def test_near_stage_finds_pairs_of_jaccard_080(spark):
+    import corpus_pipeline as c
+
+    rng = np.random.default_rng(8)
+
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    rows = [(None, "null one " * 30), (None, "two of null " * 30), (9000, "nine thousand " * 30), (9000, "a second text " * 30)]
+    wanted = 0
+    for i in range(150):
+        w = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        v = list(w)
+        for at in rng.choice(200, i % 8 + 1, False):
+            v[at] = "other"
+        rows += [(2 * i, " ".join(w)), (None if i % 10 == 0 else 2 * i + 1, " ".join(v))]
+        wanted += len(grams(rows[-1][1]) & grams(rows[-2][1])) >= 0.8 * len(grams(rows[-1][1]) | grams(rows[-2][1]))
+    got = {(r.doc_id, r.text) for r in c.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()}
+    gone = [i for i in range(4, len(rows)) if rows[i] not in got]
+    for i in gone:  # only copies go, and only verified ones
+        x, y = grams(rows[i][1]), grams(rows[i - 1][1])
+        assert i % 2 and len(x & y) >= 0.8 * len(x | y)
+    assert set(rows[:4]) <= got and wanted > 50 and len(gone) >= 0.9 * wanted
+
+
 def test_long_posting_lists_keep_every_link():
     rng = np.random.default_rng(3)
     fps = np.unique(rng.integers(0, 1 << 16, 900).astype(np.uint64))
