@@ -17,7 +17,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recompression.remove_repeats(_docs(spark, sf_dir)).drop("h", "kept")
+    return recompression.remove_repeats(_docs(spark, sf_dir)).drop("kept")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """Exact removal of repeated word windows by recompression.
 
-Words are symbols. A round first names every maximal run of one symbol by (symbol, length), then splits all
-symbols into left and right ones by a hash and names every adjacent left-right pair by its two names. Names
-are 64-bit hashes of what they stand for, so every task gives equal strings equal names without a
-dictionary to exchange. Each symbol carries the words that decided it; inside equal substrings the symbols
-that no outside word decides are equal at every level. Each window relies on its highest level with such a
-symbol. Owners of symbols tell which ones two documents have; windows all of whose symbols are shared are then
-verified by their own words' hash, where the smallest doc_id of equal windows decides.
+Words are symbols, named by owners that compare their bytes. In a round, a block finds maximal runs of one
+symbol and splits runs into left and right ones by their name; owners name every distinct adjacent left-right
+pair, and every lone run, that two documents have. Names are numbers that owners give out for what they have
+compared, so names are equal exactly where the words below are. Every symbol carries the words that decided
+it: where a window holds them all, equal windows have the same symbol, so a symbol that only one document has
+rules out every window around it. Rounds go on until no symbol fits a window.
+
+Windows that no symbol rules out ask who has them first, by a hash of their words' names, and every stretch
+of windows that is said to repeat is verified: its names against those of the place it is said to repeat.
+Should two different windows ever share a hash, all that meet are settled by their names themselves.
 """
 
 from __future__ import annotations
@@ -16,208 +19,461 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-
-from termwright.llm import repeats as R
-from termwright.llm.repeats import NO_ID, U64, Powers, mix
-from termwright.llm.runtime import partitions
-
-ROUNDS = 4
-WORD_BLOCK = 1 << 20
-
-
-def words(texts: list[bytes], powers: Powers, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of white-space separated texts: text number, start and end in the joined buffer, hash, and the buffer's text starts."""
-    n = np.array([len(t) + 1 for t in texts], np.int64)
-    buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    if lower:
-        buf = np.where((buf >= 65) & (buf <= 90), buf + 32, buf).astype(np.uint8)
-    space = (buf == 32) | ((buf >= 9) & (buf <= 13))
-    edge = np.diff(space.astype(np.int8), prepend=1)
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    base = np.cumsum(n) - n
-    text = np.searchsorted(base, start, side="right") - 1
-    h = np.empty(len(start), U64)
-    # hashed in stretches, so that prefix sums stay small
-    at = 0
-    while at < len(start):
-        to = max(at + 1, int(np.searchsorted(end, start[at] + WORD_BLOCK, side="right")))
-        lo = start[at]
-        p = powers.prefix(buf[lo : end[to - 1]])
-        h[at:to] = powers.at(p, start[at:to] - lo, end[at:to] - start[at:to])
-        at = to
-    return text, start, end, mix(h + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15)), base
-
-
-def recompress(name: np.ndarray, text: np.ndarray, rounds: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each level from 0: name, first deciding word and end of the deciding words of every symbol."""
-    n = len(name)
-    lo, hi = np.arange(n), np.arange(1, n + 1)
-    doc = text
-    levels = [(name, lo, hi)]
-    for t in range(rounds):
-        salt = mix(np.array([t + 1], U64))[0]
-        # runs of one symbol; that a run ends is decided by its neighbours
-        new = np.concatenate([[True], (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])]) if n else np.zeros(0, bool)
+from pyspark.sql import DataFrame, Window, functions as F
+
+from termwright.llm import messages as M, tokens as T
+from termwright.llm.messages import NO_ID, U64, mix
+from termwright.llm.runtime import materialize
+
+NAMES, KEY_NAMES, STATE, KEYS, COVERED, ASK, FIRST, GONE, CLAIM, ODD, BAD = range(2, 13)
+#: Bits of a window's hash; tests make it small.
+HASH_BITS = 64
+
+
+class Symbols:
+    """A block's symbols of one level: name, first deciding word and end of the deciding words, and whether the symbol before is out."""
+
+    def __init__(self, name: np.ndarray, lo: np.ndarray, hi: np.ndarray, gap: np.ndarray):
+        self.name, self.lo, self.hi, self.gap = name, lo, hi, gap
+
+    def pick(self, keep: np.ndarray) -> Symbols:
+        """Those to keep; what stood beside one that goes has a gap there."""
+        at = np.flatnonzero(keep)
+        gaps = np.cumsum(self.gap)
+        before = np.concatenate([[-1], at[:-1]]) if len(at) else at
+        gap = (at - before > 1) | (gaps[at] > gaps[np.maximum(before, 0)]) | (before < 0)
+        return Symbols(self.name[at], self.lo[at], self.hi[at], gap)
+
+    def parts(self) -> M.Parts:
+        return [M.pack(self.name), M.pack_sorted(self.lo.astype(np.uint32)), M.pack((self.hi - self.lo).astype(np.uint32)), M.bits(self.gap)]
+
+    @classmethod
+    def of(cls, parts: M.Parts) -> Symbols:
+        name, lo = M.unpack(parts[0], U64), M.unpack_sorted(parts[1], np.uint32).astype(np.int64)
+        return cls(name, lo, lo + M.unpack(parts[2], np.uint32), M.unbits(parts[3], len(lo)))
+
+
+class Alive:
+    """Which windows, by their first word, may still repeat."""
+
+    def __init__(self, flags: np.ndarray, window: int):
+        self.flags, self.window = flags, window
+        self.sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+
+    def around(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether a window that may repeat holds each range."""
+        a = np.maximum(hi - self.window, 0)
+        return (a <= lo) & (self.sums[np.maximum(lo + 1, a)] > self.sums[a])
+
+    def without(self, lo: np.ndarray, hi: np.ndarray) -> Alive:
+        """Minus all windows around these ranges."""
+        a = np.maximum(hi - self.window, 0)
+        fits = a <= lo
+        return Alive(self.flags & ~M.cover(a[fits], (lo - a + 1)[fits], len(self.flags)), self.window)
+
+
+def windows_of(private: np.ndarray, ends: np.ndarray, window: int) -> Alive:
+    """Windows inside one document without a private word."""
+    n = len(private)
+    flags = np.zeros(n, bool)
+    if n >= window:
+        bad = np.concatenate([[0], np.cumsum(private, dtype=np.int64)])
+        flags[: n - window + 1] = bad[window:] == bad[:-window]
+        # the last window - 1 words of a document begin none
+        ends = ends[np.diff(ends, prepend=0) > 0]
+        sizes = np.diff(ends, prepend=0)
+        tail = np.minimum(sizes, window - 1)
+        flags[M.flat(ends - tail, tail)] = False
+    return Alive(flags, window)
+
+
+def combine(s: Symbols, level: int, window: int) -> tuple[Symbols, np.ndarray, np.ndarray]:
+    """The next level's symbols, unnamed: their deciding words and the runs (A, B) they are made of, B zero for a lone run; zero, zero keeps the name."""
+    n = len(s.name)
+    if not n:
+        return s, np.zeros(0, U64), np.zeros(0, U64)
+    head = np.flatnonzero(s.gap | np.concatenate([[True], s.name[1:] != s.name[:-1]]))
+    size = np.diff(np.append(head, n))
+    tail = head + size - 1
+    gap = s.gap[head]
+    shut = np.append(s.gap[1:], True)[tail] | gap  # nobody in here knows where the run ends
+    # a run is decided by the symbols before and after it too
+    lo, hi = s.lo[np.maximum(head - 1, 0)], s.hi[np.minimum(tail + 1, n - 1)]
+    run = s.name[head] * U64(window + 1) + np.minimum(size, window).astype(U64)
+    shut |= size > window
+    left = (mix(run ^ mix(np.full(1, level, U64))) & U64(1)) == 0
+    pair = np.flatnonzero(left[:-1] & ~left[1:] & ~gap[1:])
+    second = np.zeros(len(run), bool)
+    second[pair + 1] = True
+    paired = second.copy()
+    paired[pair] = True
+    # a lone left run was decided by what follows it, a lone right one by what precedes it
+    after, before = np.minimum(np.arange(len(run)) + 1, len(run) - 1), np.maximum(np.arange(len(run)) - 1, 0)
+    lone_l, lone_r = ~paired & left, ~paired & ~left
+    lo2, hi2 = np.where(lone_r, lo[before], lo), np.where(lone_l, hi[after], hi)
+    shut2 = shut | (lone_l & shut[after]) | (lone_r & shut[before])
+    hi2[pair], shut2[pair] = hi[pair + 1], shut[pair] | shut[pair + 1]
+    b = np.zeros(len(run), U64)
+    b[pair] = run[pair + 1]
+    a = np.where((b == 0) & (size == 1), U64(0), run)
+    keep = ~second
+    hi2[shut2] = lo2[shut2] + window + 1  # fits no window
+    return Symbols(s.name[head][keep], lo2[keep], hi2[keep], gap[keep]), a[keep], b[keep]
+
+
+def distinct(a: np.ndarray, b: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (a, b) by owner, a, b: owner, a, b, and the number of each given pair."""
+    owner = (mix(a * U64(0x9E3779B97F4A7C15) ^ mix(b)) % U64(owners)).astype(np.int64)
+    order = np.lexsort((b, a, owner))
+    o, x, y = owner[order], a[order], b[order]
+    head = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(a) else np.zeros(0, np.int64)
+    of = np.empty(len(a), np.int64)
+    of[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(a))))
+    return o[head], x[head], y[head], of
+
+
+def spans(owner: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Owner, start and end of each stretch of one owner."""
+    heads = np.flatnonzero(np.diff(owner, prepend=-1))
+    yield from zip(owner[heads].tolist(), heads.tolist(), np.append(heads[1:], len(owner)).tolist())
+
+
+def several(of: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Which of n things two ids have; ids must be sorted."""
+    low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    low[of[::-1]], high[of] = ids[::-1], ids
+    return low != high
+
+
+class Level:
+    """A block's symbols of a level that wait for their names, and the windows that may repeat."""
+
+    def __init__(self, s: Symbols, alive: Alive, ids: np.ndarray, level: int, owners: int):
+        """ids: the document id of every word."""
+        self.alive, self.level = alive, level
+        new, a, b = combine(s, level, alive.window)
+        keep = alive.around(new.lo, new.hi)
+        self.symbols, a, b = new.pick(keep), a[keep], b[keep]
+        self.fresh = np.flatnonzero(a)
+        self.owner, self.a, self.b, self.of = distinct(a[self.fresh], b[self.fresh], owners)
+        self.shared = several(self.of, ids[self.symbols.lo[self.fresh]], len(self.a))
+
+    def ask(self, block: int) -> list[M.Row]:
+        return [(o, KEYS, block, self.level, 0, [M.pack_sorted(self.a[i:j]), M.pack(self.b[i:j]), M.bits(self.shared[i:j])]) for o, i, j in spans(self.owner)]
+
+    def hear(self, told: list[M.Row]) -> tuple[Symbols, Alive]:
+        """Named symbols that still fit a window, and the windows no private symbol rules out."""
+        named = {r[2]: r[5] for r in told}
+        names = np.zeros(len(self.a), U64)
+        for o, i, j in spans(self.owner):
+            has = M.unbits(named[o][0], j - i)
+            names[i:j][has] = M.unpack_sorted(named[o][1])
+        s = self.symbols
+        s.name = s.name.copy()
+        s.name[self.fresh] = names[self.of]
+        out = s.name == 0
+        alive = self.alive.without(s.lo[out], s.hi[out])
+        return s.pick(~out & alive.around(s.lo, s.hi)), alive
+
+
+def name_keys(owner: int, asked: list[M.Parts], owners: int, level: int, levels: int) -> list[M.Parts]:
+    """Names of the keys that two documents have, by comparing the keys."""
+    a, b = np.concatenate([M.unpack_sorted(p[0]) for p in asked]), np.concatenate([M.unpack(p[1], U64) for p in asked])
+    sizes = [len(M.unpack(p[0], U64)) for p in asked]
+    own = np.concatenate([M.unbits(p[2], n) for p, n in zip(asked, sizes)])
+    _, x, _, of = distinct(a, b, 1)
+    shared = np.bincount(of, 1 + own, len(x)) > 1
+    names = ((np.cumsum(shared) - 1) * owners + owner + 1) * levels + level
+    out, at = [], 0
+    for n in sizes:
+        mine = of[at : at + n]
+        has = shared[mine]
+        out.append([M.bits(has), M.pack_sorted(names[mine[has]].astype(U64))])
+        at += n
+    return out
+
+
+def name_words(owner: int, asked: list[M.Parts], owners: int, levels: int) -> list[M.Parts]:
+    """Names of the words that two documents have, by comparing the words; zero for others."""
+    index, of, own = T.Numbered(), [], []
+    for p in asked:
+        words = M.zstd.decompress(p[0]).split(b" ")
+        of.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
+        own.append(M.unpack(p[2], np.uint8))
+    shared = np.bincount(np.concatenate(of), 1 + np.concatenate(own), len(index)) > 1
+    names = np.where(shared, ((np.cumsum(shared) - 1) * owners + owner + 1) * levels, 0).astype(U64)
+    return [[p[1], M.pack(names[x])] for p, x in zip(asked, of)]
+
+
+class Words:
+    """A block with the names of its words."""
+
+    def __init__(self, mail: M.Mail, window: int):
+        self.block = T.Block(mail.one(T.BASE))
+        names = np.zeros(self.block.distinct, U64)
+        for r in mail[NAMES]:
+            names[M.unpack_sorted(r[5][0], np.uint32)] = M.unpack(r[5][1], U64)
+        self.name = names[self.block.tokens]
+        self.ids = np.repeat(self.block.ids, self.block.sizes)
+        self.alive = windows_of(self.name == 0, self.block.ends, window)
+        at = np.arange(len(self.name))
+        gap = np.zeros(len(at) + 1, bool)
+        gap[0] = gap[self.block.ends] = True
+        level = Symbols(self.name, at, at + 1, gap[:-1])
+        self.symbols = level.pick(self.alive.around(at, at + 1))
+
+
+class Covered:
+    """What a block keeps of its words: the names inside windows that may repeat."""
+
+    def __init__(self, parts: M.Parts, alive: M.Parts, window: int):
+        sizes, self.ids_of = M.unpack(parts[2], np.uint32).astype(np.int64), M.unpack(parts[3], np.int64)
+        n = int(sizes.sum())
+        self.name = np.zeros(n, U64)
+        self.name[M.unbits(parts[0], n)] = M.unpack(parts[1], U64)
+        self.ids = np.repeat(self.ids_of, sizes)
+        self.alive = Alive(M.unbits(alive[0], n), window)
+
+    @staticmethod
+    def parts(words: Words, alive: Alive) -> M.Parts:
+        in_ = M.cover(np.flatnonzero(alive.flags), alive.window, len(words.name))
+        return [M.bits(in_), M.pack(words.name[in_]), M.pack(words.block.sizes.astype(np.uint32)), M.pack(words.block.ids)]
+
+    def windows(self, at: np.ndarray) -> np.ndarray:
+        """The names of the windows at these places, a row each."""
+        return self.name[at[:, None] + np.arange(self.alive.window)]
+
+
+class Repeats:
+    """A block's windows by hash: each hash has a leader, the first window of the smallest document, and those equal to it."""
+
+    def __init__(self, c: Covered, hash_bits: int):
+        self.c = c
+        at = np.flatnonzero(c.alive.flags)
+        h = np.zeros(len(at), U64)
+        for i in range(c.alive.window):
+            h = mix(h * U64(0x9E3779B97F4A7C15) + c.name[at + i])
+        h = mix(h) >> U64(64 - hash_bits)
+        order = np.argsort(h, kind="stable")  # documents are in the order of their ids, so are windows
+        self.at, h = at[order], h[order]
+        self.head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        self.of = np.repeat(np.arange(len(self.head)), np.diff(np.append(self.head, len(h))))
+        self.hash, self.lead = h[self.head], self.at[self.head]
+        self.odd = np.zeros(len(h), bool)
+        follow = np.flatnonzero(np.concatenate([[False], h[1:] == h[:-1]]))
+        for i in range(c.alive.window):
+            self.odd[follow] |= c.name[self.at[follow] + i] != c.name[self.lead[self.of[follow]] + i]
+
+    def owner(self, owners: int) -> np.ndarray:
+        return (mix(self.hash) % U64(owners)).astype(np.int64)
+
+    def ask(self, block: int, owners: int) -> list[M.Row]:
+        return [(o, ASK, block, 0, 0, [M.pack_sorted(self.hash[x]), M.pack(self.c.ids[self.lead[x]]), M.pack(self.lead[x].astype(np.uint32))]) for o, x in M.by_owner(self.owner(owners))]
+
+    def hear(self, told: list[M.Row], owners: int) -> None:
+        """Where each leader's window is said to stand first: block (-1: here) and place, and whether the document there is smaller."""
+        self.block, self.place, self.less = np.full(len(self.lead), -1), np.zeros(len(self.lead), np.int64), np.zeros(len(self.lead), bool)
+        parts = {r[2]: r[5] for r in told}
+        for o, x in M.by_owner(self.owner(owners)):
+            p = parts[o]
+            known = M.unbits(p[0], len(x))
+            self.block[x[known]], self.place[x[known]] = M.unpack(p[1], np.int64), M.unpack(p[2], np.uint32)
+            self.less[x] = M.unbits(p[3], len(x))
+
+    def gone(self, bad: np.ndarray | None = None) -> np.ndarray:
+        """Places of windows that repeat one of a smaller document, without those that are odd or whose leader is bad."""
+        ids = self.c.ids
+        less = self.less[self.of] | (ids[self.lead[self.of]] < ids[self.at])
+        return self.at[less & ~self.odd & (True if bad is None else ~bad[self.of])]
+
+    def claims(self, block: int) -> list[M.Row]:
+        """Stretches of leaders that are said to repeat a stretch of another block: to that block, with the names."""
+        x = np.flatnonzero(self.block >= 0)
+        x = x[np.argsort(self.lead[x], kind="stable")]
+        at, to, place = self.lead[x], self.block[x], self.place[x]
+        new = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(place) != 1) | (np.diff(to) != 0)]) if len(x) else np.zeros(0, bool)
         head = np.flatnonzero(new)
-        size = np.diff(np.append(head, len(name)))
-        run = np.where(size > 1, mix(name[head] ^ mix(size.astype(U64) * U64(3) + salt)), name[head])
-        low, high = np.minimum.reduceat(lo, head), np.maximum.reduceat(hi, head)
-        d = doc[head]
-        low_b, high_b, low_a, high_a = outside(lo, hi, doc)
-        tail = head + size - 1
-        # only the very next symbols decide that a run ends, not the runs they belong to
-        low = np.minimum(low, np.minimum(low_b[head], low_a[tail]))
-        high = np.maximum(high, np.maximum(high_b[head], high_a[tail]))
-        # left-right pairs
-        left = (mix(run ^ salt) >> U64(63)) == 0
-        pair = np.flatnonzero(left[:-1] & ~left[1:] & (d[1:] == d[:-1]))
-        second = np.zeros(len(run), bool)
-        second[pair + 1] = True
-        paired = second.copy()
-        paired[pair] = True
-        low_b, high_b, low_a, high_a = outside(low, high, d)
-        # a lone left symbol was decided by what follows it, a lone right one by what precedes it
-        lone_l, lone_r = ~paired & left, ~paired & ~left
-        low2 = np.where(lone_l, np.minimum(low, low_a), np.where(lone_r, np.minimum(low, low_b), low))
-        high2 = np.where(lone_l, np.maximum(high, high_a), np.where(lone_r, np.maximum(high, high_b), high))
-        name2 = run.copy()
-        name2[pair] = mix(mix(run[pair] + salt) * U64(3) + run[pair + 1])
-        low2[pair] = np.minimum(low[pair], low[pair + 1])
-        high2[pair] = np.maximum(high[pair], high[pair + 1])
-        keep = ~second
-        name, lo, hi, doc = name2[keep], low2[keep], high2[keep], d[keep]
-        levels.append((name, lo, hi))
-    return levels
-
-
-def outside(low: np.ndarray, high: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Deciding words (first, end) of the symbol before and of the one after; one word further where a text ends."""
-    same = doc[1:] == doc[:-1]
-    low_b, high_b, low_a, high_a = low - 1, high.copy(), low.copy(), high + 1
-    low_b[1:], high_b[1:] = np.where(same, low[:-1], low_b[1:]), np.where(same, high[:-1], high_b[1:])
-    low_a[:-1], high_a[:-1] = np.where(same, low[1:], low_a[:-1]), np.where(same, high[1:], high_a[:-1])
-    return low_b, high_b, low_a, high_a
-
-
-def symbols(name: np.ndarray, text: np.ndarray, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The symbols windows rely on: key, first and last window (by its first word) that can rely on each, and level; and each window's level.
-
-    Windows are judged from the highest level down; a level's symbol counts if no word outside the window
-    decided it. Level 0, the words, serves windows that have no such symbol, as inside long runs.
-    """
-    n = len(name)
-    ends = np.searchsorted(text, text, side="right") if n else text
-    valid = np.arange(n) + window <= ends
-    found, served, relies = [], ~valid, np.full(n, -1)
-    for level, (key, lo, hi) in reversed(list(enumerate(recompress(name, text, rounds) if n else []))):
-        ok = np.flatnonzero(hi - lo <= window)
-        first, last = np.maximum(hi[ok] - window, 0), lo[ok]
-        d0 = np.searchsorted(text, text[np.clip(lo[ok], 0, n - 1)])
-        inside = (lo[ok] >= d0) & (hi[ok] <= ends[np.clip(lo[ok], 0, n - 1)])
-        first, last = np.maximum(first, d0), np.minimum(last, ends[np.clip(lo[ok], 0, n - 1)] - window)
-        inside &= first <= last
-        ok, first, last = ok[inside], first[inside], last[inside]
-        waiting = np.concatenate([[0], np.cumsum(~served)])
-        use = waiting[last + 1] > waiting[first]
-        ok, first, last = ok[use], first[use], last[use]
-        found.append((mix(key[ok] + U64(level)), first, last, np.full(len(ok), level)))
-        edge = np.zeros(n + 1, np.int32)
-        np.add.at(edge, first, 1)
-        np.add.at(edge, last + 1, -1)
-        now = ~served & (np.cumsum(edge[:n]) > 0)
-        relies[now] = level
-        served |= now
-    if not found:
-        return np.zeros(0, U64), *(np.zeros(0, np.int64) for _ in range(4))
-    key, first, last, of = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((key, last, first))
-    return key[order], first[order], last[order], of[order], relies
-
-
-class Windows:
-    """A block's symbols and, once owners have told which are shared, its windows that may repeat."""
-
-    def __init__(self, block: R.Block, window: int, rounds: int):
-        self.text, _, _, self.h, _ = words(block.texts, Powers())
-        self.block, self.window, self.rounds = block, window, rounds
-        self.key, self.first, self.last, self.level, self.relies = symbols(self.h, self.text, window, rounds)
-        self.symbols = R.Keys(self.key, block.ids[self.text[self.first]])
-
-    def hear(self, told: R.Told, count: int) -> Windows:
-        share, n = self.symbols.hear(told, count).shared[self.symbols.of], len(self.h)
-        paint = lambda s: R.union(self.first[s], self.last[s] - self.first[s] + 1, n)
-        # a window relies on all symbols of its level inside it: each must be shared
-        hope = np.zeros(n, bool)
-        for t in range(self.rounds + 1):
-            hope |= (self.relies == t) & paint(share & (self.level == t)) & ~paint(~share & (self.level == t))
-        self.at = np.flatnonzero(hope)
-        self.ids = self.block.ids[self.text[self.at]]
-        # the smallest document of a window speaks for the block
-        self.names, self.of = np.unique(mix(window_hash(self.h, self.window, self.at)), return_inverse=True)
-        self.of = self.of.reshape(-1)
-        self.least = np.full(len(self.names), NO_ID)
-        np.minimum.at(self.least, self.of, self.ids)
-        return self
-
-
-def own_windows(asked: list[R.Parts]) -> list[R.Parts]:
-    """Which windows start in a smaller document of another block."""
-    names = [R.unsteps(parts[0]) for parts in asked]
-    least = np.concatenate([R.unplanes(parts[1], np.int64) for parts in asked])
-    all_names, at = np.unique(np.concatenate(names), return_inverse=True)
-    low = np.full(len(all_names), NO_ID)
-    np.minimum.at(low, at.reshape(-1), least)
-    over = low[at.reshape(-1)] < least
-    return [[R.bits(o)] for o in np.split(over, np.cumsum([len(n) for n in names])[:-1])]
-
-
-def window_hash(h: np.ndarray, window: int, at: np.ndarray) -> np.ndarray:
-    """Hash of `window` word hashes in order from each place."""
-    a = np.zeros(len(at), U64)
-    for i in range(window):
-        a = mix(a * U64(0x9E3779B97F4A7C15) + h[at + i])
-    return a
-
-
-def remove_repeats(docs: DataFrame, window: int = 13, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, h (hash of the text), n_words, n_removed, kept_sha256 and kept (the text that remains).
+        size = np.diff(np.append(head, len(x))) + self.c.alive.window - 1
+        return [(t, CLAIM, block, p, i, [M.pack(self.c.name[i : i + n])]) for t, p, i, n in zip(to[head].tolist(), place[head].tolist(), at[head].tolist(), size.tolist())]
+
+    def settle_odd(self, block: int, bad: np.ndarray) -> list[M.Row]:
+        """Windows whose hash met a different window, with their names."""
+        at = self.at[self.odd | bad[self.of]]
+        return [(0, ODD, block, d, i, [w.tobytes()]) for d, i, w in zip(self.c.ids[at].tolist(), at.tolist(), self.c.windows(at))]
+
+
+def first_of(asked: list[M.Parts], sources: list[int]) -> list[M.Parts]:
+    """For each hash asked about that another block has too and that does not stand first here: block and place of the first, and whether it is in a smaller document."""
+    hs = [M.unpack_sorted(p[0]) for p in asked]
+    sizes = [len(h) for h in hs]
+    h, ids, at = np.concatenate(hs), np.concatenate([M.unpack(p[1], np.int64) for p in asked]), np.concatenate([M.unpack(p[2], np.uint32) for p in asked])
+    source = np.repeat(np.array(sources, np.int64), sizes)
+    order = np.lexsort((source, ids, h))  # a block asks once about a hash
+    s = h[order]
+    head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    lead = np.empty(len(h), np.int64)
+    lead[order] = np.repeat(order[head], np.diff(np.append(head, len(h))))
+    known, less = lead != np.arange(len(h)), ids[lead] < ids
+    out, i = [], 0
+    for n in sizes:
+        k = known[i : i + n]
+        to = lead[i : i + n][k]
+        out.append([M.bits(k), M.pack(source[to]), M.pack(at[to]), M.bits(less[i : i + n])])
+        i += n
+    return out
+
+
+def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", hash_bits: int | None = None, block_bytes: int = M.BLOCK_BYTES) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_removed, kept_sha256 and kept (the text that remains).
 
     A word goes if a window of consecutive words that covers it also starts in a document with a smaller
     doc_id. What is kept is joined by single spaces. Null, empty and blank texts have no words; texts
     shorter than a window lose nothing. Rows that repeat a doc_id are one document and take nothing from
-    each other; null ids rank after all others and take nothing from each other. An empty table gives an
-    empty result; other columns are ignored.
+    each other; a null id ranks with the largest id there is, and rows without id take nothing from each
+    other. An empty table gives an empty result; other columns are ignored.
     """
-    count = partitions(docs.sparkSession)
-    base = R.dealt(R.keyed(docs, id_col, text_col))
-
-    def ask_symbols(block: R.Block, told: R.Told) -> Iterator[tuple[int, R.Parts]]:
-        return Windows(block, window, rounds).symbols.ask(count)
-
-    def ask_windows(block: R.Block, told: R.Told) -> Iterator[tuple[int, R.Parts]]:
-        w = Windows(block, window, rounds).hear(told, count)
-        for owner, x in R.by_owner(w.names, count):
-            yield owner, [R.steps(w.names[x]), R.planes(w.least[x])]
-
-    def cut(block: R.Block, told: R.Told) -> pa.Table:
-        w = Windows(block, window, rounds).hear(told, count)
-        over = np.zeros(len(w.names), bool)
-        for owner, x in R.by_owner(w.names, count):
-            over[x] = R.unbits(told[1, owner][0], len(x))
-        at = w.at[over[w.of] | (w.ids > w.least[w.of])]
-        gone = R.union(at, np.full(len(at), window), len(w.h)).tolist()
-        rows, n = [], 0
-        for d, h, t in zip(block.ids.tolist(), block.hs.tolist(), block.texts):
-            toks = t.split()
-            left = b" ".join(x for x, g in zip(toks, gone[n : n + len(toks)]) if not g)
-            removed = sum(gone[n : n + len(toks)])
-            n += len(toks)
-            rows.append((None if d == NO_ID else d, h, len(toks), removed, hashlib.sha256(left).hexdigest(), left))
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "h", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    shared = R.converse(base, None, 0, ask_symbols, R.own_keys)
-    repeated = R.converse(base, shared, 1, ask_windows, own_windows)
-    out = R.finish(base, shared.unionByName(repeated), cut, "doc_id long, h long, n_words long, n_removed long, kept_sha256 string, kept binary")
+    hash_bits = HASH_BITS if hash_bits is None else hash_bits
+    owners = M.owners_for(T.text_bytes(docs, text_col), docs.sparkSession)
+    levels = window + 1
+
+    def tell(b: T.Block, n: int) -> np.ndarray:
+        return several(b.tokens.astype(np.int64), np.repeat(b.ids, b.sizes), n).astype(np.uint8)
+
+    cut = materialize(T.cut(docs, owners, tell, id_col, text_col, block_bytes=block_bytes), "words")
+    base = cut.where(F.col("kind") == T.BASE)
+    words = M.settle(cut.where(F.col("kind") == T.WORDS), owners, NAMES, lambda o, asked: name_words(o, asked, owners, levels))
+
+    def ask_first(block: int, mail: M.Mail) -> pa.Table:
+        w = Words(mail, window)
+        return M.table(Level(w.symbols, w.alive, w.ids, 1, owners).ask(block))
+
+    def after_first(block: int, mail: M.Mail) -> pa.Table:
+        w = Words(mail, window)
+        symbols, alive = Level(w.symbols, w.alive, w.ids, 1, owners).hear(mail[KEY_NAMES])
+        rows = Level(symbols, alive, w.ids, 2, owners).ask(block)
+        return M.table([(block, COVERED, block, 0, 0, Covered.parts(w, alive)), (block, STATE, block, 0, 0, [M.bits(alive.flags), *symbols.parts()]), *rows])
+
+    def namer(level: int):
+        return lambda o, asked: name_keys(o, asked, owners, level, levels)
+
+    keys = M.settle(M.visit_with(base, words, ask_first), owners, KEY_NAMES, namer(1))
+    state = materialize(M.visit_with(base, words.unionByName(keys), after_first), "level")
+    covered = state.where(F.col("kind") == COVERED)
+    for level in range(2, levels):  # a symbol of level t is decided by more than t words
+        if state.where(F.col("kind") == KEYS).isEmpty():
+            break
+
+        def after(block: int, mail: M.Mail, level: int = level) -> pa.Table:
+            c = Covered(mail.one(COVERED), (p := mail.one(STATE))[:1], window)
+            symbols, alive = Level(Symbols.of(p[1:]), c.alive, c.ids, level, owners).hear(mail[KEY_NAMES])
+            rows = Level(symbols, alive, c.ids, level + 1, owners).ask(block) if level + 1 < levels else []
+            return M.table([(block, STATE, block, 0, 0, [M.bits(alive.flags), *symbols.parts()]), *rows])
+
+        named = M.settle(state.where(F.col("kind") == KEYS), owners, KEY_NAMES, namer(level))
+        state = materialize(M.visit(covered.unionByName(state.where(F.col("kind") == STATE)).unionByName(named), after), "level")
+    kept = covered.unionByName(state.where(F.col("kind") == STATE).withColumn("parts", F.slice("parts", 1, 1)))
+
+    def met(mail: M.Mail) -> Repeats:
+        return Repeats(Covered(mail.one(COVERED), mail.one(STATE), window), hash_bits)
+
+    def ask_windows(block: int, mail: M.Mail) -> pa.Table:
+        return M.table(met(mail).ask(block, owners))
+
+    def claim(block: int, mail: M.Mail) -> pa.Table:
+        r = met(mail)
+        r.hear(mail[FIRST], owners)
+        odd = r.settle_odd(block, np.zeros(len(r.lead), bool)) if r.odd.any() else []
+        return M.table([(block, GONE, block, 0, 0, [M.pack_sorted(np.sort(r.gone()).astype(np.uint32))]), *r.claims(block), *odd])
+
+    first = owners_first(M.visit(kept, ask_windows), owners)
+    said = materialize(M.visit_with(kept, first, claim), "repeats")
+    claims, odd = said.where(F.col("kind") == CLAIM), said.where(F.col("kind") == ODD)
+
+    def verify(block: int, mail: M.Mail) -> pa.Table:
+        c, out = Covered(mail.one(COVERED), mail.one(STATE), window), []
+        for r in mail[CLAIM]:
+            names = M.unpack(r[5][0], U64)
+            if not np.array_equal(names, c.name[r[3] : r[3] + len(names)]):
+                at = np.arange(r[3], r[3] + len(names) - window + 1)
+                out.append((block, BAD, 0, r[3], 0, r[5]))
+                out += [(0, ODD, block, d, i, [w.tobytes()]) for d, i, w in zip(c.ids[at].tolist(), at.tolist(), c.windows(at))]
+        return M.table(out)
+
+    alike = claims.groupBy("dest", "kind", "a", "parts").agg(F.lit(0).cast("long").alias("source"), F.lit(0).cast("long").alias("b")).select(*claims.columns)
+    bad = materialize(M.visit_with(kept.join(alike.select("dest").distinct(), "dest", "left_semi").select(*kept.columns), alike, verify), "unverified")
+    gone = said.where(F.col("kind") == GONE)
+    if not bad.isEmpty() or not odd.isEmpty():
+        gone = gone.unionByName(settled(kept, first, claims, odd, bad, met, owners))
+
+    def end(block: int, mail: M.Mail) -> pa.Table:
+        b = T.Block(mail.one(T.BASE))
+        words_ = T.spell(mail[T.WORDS], b.distinct)
+        keep = {}
+        for r in mail[GONE]:
+            keep[r[3]] = M.unpack_sorted(r[5][0], np.uint32)
+        at = keep.get(0, np.zeros(0, np.uint32))
+        if 1 in keep:  # places once said to repeat that names do not bear out, and places that names settle
+            at = np.setdiff1d(at, keep[1])
+        if 2 in keep:
+            at = np.union1d(at, keep[2])
+        out = M.cover(at, window, len(b.tokens))
+        rows, lo = [], 0
+        removed = np.add.reduceat(np.append(out, False).astype(np.int64), b.ends - b.sizes) * (b.sizes > 0)
+        for d, null, n, gone_ in zip(b.ids.tolist(), b.null.tolist(), b.sizes.tolist(), removed.tolist()):
+            left = b.tokens[lo : lo + n][~out[lo : lo + n]] if gone_ else b.tokens[lo : lo + n]
+            text = b" ".join(map(words_.__getitem__, left.tolist()))
+            rows.append((None if null else d, n, gone_, hashlib.sha256(text).hexdigest(), text))
+            lo += n
+        kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    spelt = cut.where(F.col("kind") == T.WORDS).withColumns({"dest": F.col("source"), "source": F.col("dest")})
+    out = M.visit(cut.where(F.col("kind") == T.BASE).unionByName(spelt).unionByName(gone), end, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
     return out.withColumn("kept", F.col("kept").cast("string"))
+
+
+def owners_first(asked: DataFrame, owners: int) -> DataFrame:
+    """Answers of first_of(); sources are the asking blocks, which owners see in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine: dict[int, list[tuple[int, M.Parts]]] = {}
+        for b in batches:
+            for dest, source, parts in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(5).to_pylist()):
+                mine.setdefault(dest, []).append((source, parts))
+        while mine:
+            owner, rows = mine.popitem()
+            rows.sort(key=lambda r: r[0])
+            for (source, _), parts in zip(rows, first_of([p for _, p in rows], [s for s, _ in rows])):
+                yield from M.table([(source, FIRST, owner, 0, 0, parts)]).to_batches()
+
+    return asked.repartitionById(owners, asked["dest"].cast("int")).mapInArrow(run, M.DDL)
+
+
+def settled(kept: DataFrame, first: DataFrame, claims: DataFrame, odd: DataFrame, bad: DataFrame, met, owners: int) -> DataFrame:
+    """GONE rows that correct the others: a = 1, places that are not borne out; a = 2, places that repeat by their names themselves."""
+    wrong = claims.join(bad.where(F.col("kind") == BAD).select("dest", "a", "parts"), ["dest", "a", "parts"], "left_semi").select(F.col("source").alias("dest"), F.lit(BAD).alias("kind"), F.lit(0).cast("long").alias("source"), F.col("b").alias("a"), F.lit(0).cast("long").alias("b"), "parts")
+    touched = materialize(wrong.unionByName(odd.select(F.col("source").alias("dest"), F.lit(BAD).alias("kind"), F.lit(0).cast("long").alias("source"), F.lit(-1).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.array().cast("array<binary>").alias("parts")).distinct()), "collisions")
+
+    def again(block: int, mail: M.Mail) -> pa.Table:
+        r = met(mail)
+        r.hear(mail[FIRST], owners)
+        bad_ = np.zeros(len(r.lead), bool)
+        for row in mail[BAD]:
+            if row[3] >= 0:
+                n = len(M.unpack(row[5][0], U64)) - r.c.alive.window + 1
+                bad_ |= (r.lead >= row[3]) & (r.lead < row[3] + n) & (r.block >= 0)
+        lost = np.setdiff1d(r.gone(), r.gone(bad_))
+        return M.table([(block, GONE, block, 1, 0, [M.pack_sorted(lost.astype(np.uint32))]), *r.settle_odd(block, bad_)])
+
+    here = touched.select("dest").distinct()
+    base = kept.join(here, "dest", "left_semi").select(*kept.columns)
+    rows = first.join(here, "dest", "left_semi").select(*first.columns).unionByName(touched)
+    found = materialize(M.visit_with(base, rows, again), "settled")
+    by_names = found.unionByName(bad).where(F.col("kind") == ODD).withColumn("least", F.min("a").over(Window.partitionBy("parts"))).where("a > least")
+
+    def places(block: int, mail: M.Mail) -> pa.Table:
+        at = np.unique(np.array([r[4] for r in mail[ODD]], np.uint32))
+        return M.table([(block, GONE, block, 2, 0, [M.pack_sorted(at)])])
+
+    again_gone = M.visit(by_names.select(F.col("source").alias("dest"), "kind", "source", "a", "b", "parts"), places)
+    return found.where(F.col("kind") == GONE).unionByName(again_gone)
