@@ -1,10 +1,11 @@
-"""Bigram language-model scores through sharded Elias-Fano tries.
-
-Documents are dealt to blocks. A block asks the owners of its distinct words for their training counts,
-and the owners of its distinct word pairs for probabilities; both questions carry the block's own counts,
-so the questions are also the training data, each block's counted once. An owner of pairs builds a trie of
-all pairs seen in training with quantised smoothed probabilities and answers from it. All counts cover the
-whole corpus and every message is a packed array, one entry for each distinct word or pair of a block.
+"""Trigram language-model scores through sharded Elias-Fano tries.
+
+Blocks of documents ask the owners of their distinct words for names and training counts, and then the owners
+of their distinct word pairs (v, w) for the probabilities of pairs and of the words u before them. Questions
+carry the block's own training counts, so they are the training data as well, each block's counted once. An
+owner builds a trie v - w - u of all it was asked about that training has, with quantised smoothed joint
+probabilities, and answers every block from it. A word's pairs are spread over owners by its count, and a
+frequent pair's words u over further ones, so no owner's share grows with how often a word is used.
 """
 
 from __future__ import annotations
@@ -15,209 +16,229 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from termwright.llm import repeats as R
+from termwright.llm import messages as M, tokens as T
 from termwright.llm.elias_fano import Trie
-from termwright.llm.repeats import NO_ID, U64, Powers, mix, steps, unsteps
-from termwright.llm.runtime import crc_mod, partitions
+from termwright.llm.messages import U64, mix
+from termwright.llm.runtime import crc_mod, materialize
 
-BLOCK_BYTES = 8 << 20
-WORD_BLOCK = 1 << 20
+COUNTS, ASKED, FOUND = 2, 3, 4
 START, END = U64(1), U64(2)
-#: log10 steps of a quantised probability; MISSING marks a pair that training never saw.
+FIRST_NAME = 3
+#: log10 steps of a quantised probability; MISSING marks what training never saw.
 STEP, MISSING = 4096, 0xFFFF
-
-
-def words(texts: list[bytes], powers: Powers, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of white-space separated texts: text number, start and end in the joined buffer, hash, and the buffer's text starts."""
-    n = np.array([len(t) + 1 for t in texts], np.int64)
-    buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    if lower:
-        buf = np.where((buf >= 65) & (buf <= 90), buf + 32, buf).astype(np.uint8)
-    space = (buf == 32) | ((buf >= 9) & (buf <= 13))
-    edge = np.diff(space.astype(np.int8), prepend=1)
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    base = np.cumsum(n) - n
-    text = np.searchsorted(base, start, side="right") - 1
-    h = np.empty(len(start), U64)
-    # hashed in stretches, so that prefix sums stay small
-    at = 0
-    while at < len(start):
-        to = max(at + 1, int(np.searchsorted(end, start[at] + WORD_BLOCK, side="right")))
-        lo = start[at]
-        p = powers.prefix(buf[lo : end[to - 1]])
-        h[at:to] = powers.at(p, start[at:to] - lo, end[at:to] - start[at:to])
-        at = to
-    return text, start, end, mix(h + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15)), base
-
-
-class Tokens:
-    """The tokens of a block's documents: names, which document, the name before, and the distinct words and pairs."""
-
-    def __init__(self, texts: list[bytes]):
-        text, _, _, h, _ = words(texts, Powers(), lower=True)
-        n = np.bincount(text, minlength=len(texts)) + 1
-        self.ends = np.cumsum(n) - 1
-        self.doc = np.repeat(np.arange(len(texts)), n)
-        name = np.full(len(self.doc), END, U64)
+OWNER_BYTES = 16 << 20
+
+
+def count_words(owner: int, asked: list[M.Parts], owners: int) -> list[tuple[int, int, M.Parts]]:
+    """Names (frequent words first) and training counts of the words, by comparing the words; a and b are the owner's trained tokens and types."""
+    index, of, said = T.Numbered(), [], []
+    for p in asked:
+        words = M.zstd.decompress(p[0]).split(b" ")
+        of.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
+        said.append(M.unpack(p[2], np.uint32))
+    c = np.bincount(np.concatenate(of), np.concatenate(said), len(index)).astype(np.int64)
+    rank = np.empty(len(c), np.int64)
+    rank[np.argsort(-c, kind="stable")] = np.arange(len(c))
+    names = (rank * owners + owner + FIRST_NAME).astype(U64)
+    return [(int(c.sum()), int((c > 0).sum()), [p[1], M.pack(names[x]), M.pack(c[x])]) for p, x in zip(asked, of)]
+
+
+class Totals:
+    """Of all training documents: tokens with ends, distinct tokens, documents, and owners of pairs."""
+
+    def __init__(self, tokens: int, types: int, docs: int, owners: int):
+        self.n, self.v, self.docs, self.owners = tokens + docs, types + (docs > 0), docs, owners
+
+
+class Grams:
+    """A block's tokens with names and counts, and its distinct pairs and triples."""
+
+    def __init__(self, mail: M.Mail, totals: Totals):
+        b = self.block = T.Block(mail.one(T.BASE))
+        self.totals, k = totals, b.distinct
+        # numbers: the block's words, then the end, then the start
+        self.name, self.count = np.empty(k + 2, U64), np.empty(k + 2, np.int64)
+        self.name[k:], self.count[k:] = (END, START), totals.docs
+        for r in mail[COUNTS]:
+            at = M.unpack_sorted(r[5][0], np.uint32)
+            self.name[at], self.count[at] = M.unpack(r[5][1], U64), M.unpack(r[5][2], np.int64)
+        n = b.sizes + 1
+        self.n, self.doc = n, np.repeat(np.arange(len(n), dtype=np.int32), n)
+        last = np.cumsum(n) - 1
+        self.w = np.full(len(self.doc), k, np.uint32)
         inner = np.ones(len(self.doc), bool)
-        inner[self.ends] = False
-        name[inner] = np.where(h <= END, h + U64(8), h)
-        before = np.empty(len(name), U64)
-        before[1:] = name[:-1]
-        before[self.ends[:-1] + 1] = START
-        before[:1] = START
-        self.n = n
-        self.words, self.word = np.unique(name, return_inverse=True)
-        self.word = self.word.reshape(-1)
-        contexts = np.append(self.words, START)  # words are sorted and START is no word
-        self.prev = np.where(before == START, len(self.words), np.searchsorted(self.words, before))
-        self.contexts = contexts
-        wide = len(self.words)
-        self.pairs, self.pair = np.unique(self.prev * wide + self.word, return_inverse=True)
-        self.pair = self.pair.reshape(-1)
-        self.c, self.w = np.divmod(self.pairs, wide)
-
-    def word_owner(self, count: int) -> np.ndarray:
-        return (mix(self.words) % U64(count)).astype(np.int64)
-
-    def pair_owner(self, count: int, c: np.ndarray, total: int) -> np.ndarray:
-        """A context's pairs have one owner, or 64 if its training count c is over a quarter of an owner's fair share: the same in every block."""
-        spread = np.where(c.astype(np.float64) * count * 4 > total, U64(63), U64(0))[self.c]
-        return (mix(self.contexts[self.c] ^ mix(self.words[self.w] & spread)) % U64(count)).astype(np.int64)
-
-
-def _rows(cols: list[tuple], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*cols)) or [()] * len(schema), schema)], schema=schema)
-
-
-def _replies(table: pa.Table, kind: int) -> dict[int, dict]:
-    return {r["owner"]: r for r in table.to_pylist() if r["kind"] == kind}
-
-
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (7, 2), prior: float = 4.0) -> DataFrame:
+        inner[last] = False
+        self.w[inner] = b.tokens
+        first = last - b.sizes
+        self.v = np.concatenate([np.zeros(1, np.uint32), self.w[:-1]])
+        self.v[first] = k + 1
+        u = np.concatenate([np.zeros(1, np.uint32), self.v[:-1]])
+        u[first] = k + 1
+        # distinct triples by v, w, u
+        wide = (k + 1).bit_length()
+        if 3 * wide < 64:
+            key = self.v.astype(U64) << U64(2 * wide) | self.w.astype(U64) << U64(wide) | u.astype(U64)
+            order = np.argsort(key)
+            key = key[order]
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+        else:
+            order = np.lexsort((u, self.w, self.v))
+            new = np.concatenate([[True], np.logical_or.reduce([x[order[1:]] != x[order[:-1]] for x in (u, self.w, self.v)])])
+        head = np.flatnonzero(new)
+        self.of = np.empty(len(order), np.int32)
+        self.of[order] = np.cumsum(new, dtype=np.int32) - 1
+        at = order[head]
+        self.tv, self.tw, self.tu = self.v[at], self.w[at], u[at]
+        trained = ~b.mark[self.doc]
+        self.seen = np.bincount(self.of, trained, len(head)).astype(np.uint32)
+        new = np.concatenate([[True], (self.tv[1:] != self.tv[:-1]) | (self.tw[1:] != self.tw[:-1])])
+        self.pair_head = np.flatnonzero(new)
+        self.pair = np.cumsum(new, dtype=np.int32) - 1
+        self.pv, self.pw = self.tv[self.pair_head], self.tw[self.pair_head]
+        self.pair_seen = np.add.reduceat(self.seen, self.pair_head)
+        self.deal()
+
+    def deal(self) -> None:
+        """Owners of pairs, and of triples: those of their pair, or further ones for the u of pairs whose words are both frequent."""
+        count, name, t = self.count, self.name, self.totals
+        owners, n = t.owners, max(1, t.n)
+        parts = np.minimum(-(-4 * count * owners // n), owners).clip(1).astype(U64)
+        h = mix(name)
+        self.pair_owner = (mix(h[self.pv] + h[self.pw] % parts[self.pv]) % U64(owners)).astype(np.int32)
+        both = np.minimum(count[self.pv], count[self.pw])
+        spread = np.minimum(both * owners // n, owners)
+        self.owner = self.pair_owner[self.pair]
+        far = np.flatnonzero(spread[self.pair] > 1)
+        p = self.pair[far]
+        shift = (h[self.tu[far]] % spread[p].astype(U64)).astype(np.int64)
+        self.owner[far] = (self.pair_owner[p] + shift) % owners
+        # rows asked: a pair and its triples of one owner, in the order of owner, pair; a pair's own owner hears of it in any case
+        order = np.argsort(self.owner.astype(np.uint16 if owners < 1 << 16 else np.int32), kind="stable")
+        o, p = self.owner[order], self.pair[order]
+        new = np.concatenate([[True], (o[1:] != o[:-1]) | (p[1:] != p[:-1])])
+        head = np.flatnonzero(new)
+        lone = np.setdiff1d(self.pair[far], p[head][o[head] == self.pair_owner[p[head]]])
+        self.order = order
+        ro, rp = np.append(o[head], self.pair_owner[lone]), np.append(p[head], lone)
+        size = np.append(np.diff(np.append(head, len(order))), np.zeros(len(lone), np.int64))
+        start = np.append(head, np.zeros(len(lone), np.int64))
+        line = np.argsort(ro, kind="stable")
+        self.row_owner, self.row_pair, self.row_size, self.row_start = ro[line], rp[line], size[line], start[line]
+
+    def mail(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each owner, its rows and their triples."""
+        heads = np.flatnonzero(np.diff(self.row_owner, prepend=-1))
+        for i, j in zip(heads.tolist(), np.append(heads[1:], len(self.row_owner)).tolist()):
+            yield int(self.row_owner[i]), np.arange(i, j), self.order[M.flat(self.row_start[i:j], self.row_size[i:j])]
+
+    def ask(self, block: int) -> list[M.Row]:
+        out = []
+        for o, rows, triples in self.mail():
+            p = self.row_pair[rows]
+            own = self.pair_owner[p] == o
+            out.append((o, ASKED, block, 0, 0, [M.pack(self.name[self.pv[p]]), M.pack(self.name[self.pw[p]]), M.pack(np.where(own, self.pair_seen[p], 0).astype(np.uint32)), M.pack(self.row_size[rows].astype(np.uint32)), M.pack(self.name[self.tu[triples]]), M.pack(self.seen[triples])]))
+        return out
+
+    def scores(self, found: list[M.Row], prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each document: known tokens, base score and score."""
+        t, parts = self.totals, {r[2]: r[5] for r in found}
+        c2, c3 = np.zeros(len(self.pv)), np.zeros(len(self.tv))
+        for o, rows, triples in self.mail():
+            p = self.row_pair[rows]
+            own = self.pair_owner[p] == o
+            c2[p[own]] = joint_count(M.unpack(parts[o][0], np.uint16)[own], t.n)
+            c3[triples] = joint_count(M.unpack(parts[o][1], np.uint16), t.n)
+        p1 = (self.count + 1) / (t.n + t.v + 1)
+        p2 = (c2 + prior * p1[self.pw]) / (self.count[self.pv] + prior)
+        # the pair (u, v) of a triple; a text's first token has none, and its context was seen once a document
+        context = np.full(len(self.tv), float(t.docs))
+        inner = np.flatnonzero(self.tv < len(self.name) - 1)
+        wide = np.int64(len(self.name))
+        context[inner] = c2[np.searchsorted(self.pv * wide + self.pw, self.tu[inner] * wide + self.tv[inner])]
+        p3 = np.minimum((c3 + prior * p2[self.pair]) / (context + prior), 1.0)
+        docs = len(self.n)
+        return (np.bincount(self.doc, self.count[self.w] > 0, docs).astype(np.int64), np.bincount(self.doc, np.log10(p1)[self.w], docs), np.bincount(self.doc, np.log10(p3)[self.of], docs))
+
+
+def joint_count(q: np.ndarray, n: int) -> np.ndarray:
+    return np.where(q == MISSING, 0.0, n * 10.0 ** (-q.astype(np.float64) / STEP))
+
+
+def quantised(c: np.ndarray, n: int) -> np.ndarray:
+    return np.minimum(np.rint(-np.log10(c / max(1, n)) * STEP), MISSING - 1).astype(np.uint16)
+
+
+def own_pairs(asked: list[M.Parts], n: int) -> list[tuple[int, int, M.Parts]]:
+    """A trie of all pairs and triples that training has, and what it says to each block."""
+    v, w, u = (np.concatenate([M.unpack(p[i], U64) for p in asked]) for i in (0, 1, 4))
+    pc, size, tc = (np.concatenate([M.unpack(p[i], np.uint32) for p in asked]) for i in (2, 3, 5))
+    sizes, triples = [len(M.unpack(p[3], np.uint32)) for p in asked], [len(M.unpack(p[5], np.uint32)) for p in asked]
+    size = size.astype(np.int64)
+    order = np.lexsort((w, v))
+    new = np.concatenate([[True], (v[order[1:]] != v[order[:-1]]) | (w[order[1:]] != w[order[:-1]])])
+    pair = np.empty(len(v), np.int64)
+    pair[order] = np.cumsum(new) - 1
+    at = order[new]
+    v, w = v[at], w[at]
+    c2 = np.bincount(pair, pc, len(v))
+    triple = np.repeat(pair, size)
+    line = np.lexsort((u, triple))
+    new = np.concatenate([[True], (triple[line[1:]] != triple[line[:-1]]) | (u[line[1:]] != u[line[:-1]])]) if len(line) else np.zeros(0, bool)
+    of = np.empty(len(u), np.int64)
+    of[line] = np.cumsum(new) - 1
+    at = line[new]
+    u, t_pair = u[at], triple[at]
+    c3 = np.bincount(of, tc, len(u))
+    del line, order, triple
+    # a pair whose own count is elsewhere is in the trie for its triples
+    has = np.bincount(t_pair, c3 > 0, len(v)) > 0
+    k2, k3 = (c2 > 0) | has, c3 > 0
+    number = np.cumsum(k2) - 1
+    value = np.full(len(v), MISSING, np.uint16)
+    value[c2 > 0] = quantised(c2[c2 > 0], n)
+    trie = Trie(v[k2], w[k2], value[k2], number[t_pair[k3]], u[k3], quantised(c3[k3], n))
+    place = trie.find_pairs(v, w)
+    q2 = trie.pairs.value(place, MISSING)
+    q3 = trie.triples.value(trie.find_triples(place[t_pair], u), MISSING)
+    out, i, j = [], 0, 0
+    for a, b in zip(sizes, triples):
+        out.append((0, 0, [M.pack(q2[pair[i : i + a]]), M.pack(q3[of[j : j + b]])]))
+        i, j = i + a, j + b
+    return out
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (7, 2), prior: float = 4.0, block_bytes: int = M.BLOCK_BYTES, owner_bytes: int = OWNER_BYTES) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    score is log10 of the text's probability under P(w | v) = (c(v, w) + prior * P(w)) / (c(v) + prior),
+    score is log10 of the text's probability under
+    P(w | u v) = (c(u v w) + prior * P(w | v)) / (c(u v) + prior), P(w | v) = (c(v w) + prior * P(w)) / (c(v) + prior),
     where P(w) is the base model's add-one estimate. A null or empty text is its end token alone. Rows with
     a null doc_id are never held out. Repeated rows count and score each. Without training rows N is 0. An
     empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    count = partitions(spark)
-    base = R.keyed(docs, id_col, text_col).withColumn("held", F.coalesce(crc_mod(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")), fold[0]) == fold[1], F.lit(False)))
-    size = base.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()[0]
-    blocks = max(count, -(-size // BLOCK_BYTES))
-    # one and the same exchange of the texts feeds all three uses below
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "h"), F.lit(blocks)).cast("int")).select("block", "doc_id", "h", "text", "held").repartition(count, "block")
-
-    ask = pa.schema([("owner", pa.int32()), ("block", pa.int32()), ("names", pa.binary()), ("context", pa.binary()), ("total", pa.binary()), ("run", pa.binary()), ("word", pa.binary()), ("trained", pa.binary())])
-    tell = pa.schema([("block", pa.int32()), ("owner", pa.int32()), ("kind", pa.int32()), ("tokens", pa.int64()), ("types", pa.int64()), ("body", pa.binary())])
-    sql = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
-    ddl = lambda s: ", ".join(f"{f.name} {sql[f.type]}" for f in s)
-
-    def columns(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray, list[bytes]]:
-        """Block, ids, held and texts, in an order that does not depend on how rows arrived."""
-        ids, hs, held = (np.asarray(table.column(c).combine_chunks().to_numpy(zero_copy_only=False)) for c in ("doc_id", "h", "held"))
-        order = np.lexsort((hs, ids))
-        texts = table.column("text").to_pylist()
-        return table.column("block")[0].as_py(), ids[order], held[order].astype(bool), [texts[i] for i in order.tolist()]
-
-    def ask_words(table: pa.Table) -> pa.Table:
-        block, _, held, texts = columns(table)
-        t = Tokens(texts)
-        trained = np.bincount(t.word, ~held[t.doc], len(t.words)).astype(np.uint32)
-        to = t.word_owner(count)
-        return _rows([(b, block, steps(t.words[x]), b"", b"", b"", b"", R.planes(trained[x])) for b in range(count) for x in [np.flatnonzero(to == b)]], ask)
-
-    def own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in b.to_pylist()]
-        for owner in sorted({r["owner"] for r in rows}):
-            mine = [r for r in rows if r["owner"] == owner]
-            names = [unsteps(r["names"]) for r in mine]
-            all_names, at = np.unique(np.concatenate(names), return_inverse=True)
-            c = np.bincount(at.reshape(-1), np.concatenate([R.unplanes(r["trained"], np.uint32) for r in mine]), len(all_names)).astype(np.int64)
-            tokens, types = int(c.sum()), int((c > 0).sum())
-            for r, n in zip(mine, names):
-                yield pa.RecordBatch.from_pydict({"block": [r["block"]], "owner": [owner], "kind": [0], "tokens": [tokens], "types": [types], "body": [R.planes(c[np.searchsorted(all_names, n)])]}, schema=tell)
-
-    def counts(t: Tokens, told: dict[int, dict]) -> np.ndarray:
-        c, to = np.zeros(len(t.words), np.int64), t.word_owner(count)
-        for b, r in told.items():
-            c[to == b] = R.unplanes(r["body"], np.int64)
-        return c
-
-    def ask_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return ask.empty_table()
-        block, _, held, texts = columns(left)
-        t = Tokens(texts)
-        told = _replies(right, 0)
-        c = counts(t, told)
-        # every training document has one end, so the ends count the starts as well
-        c = np.append(c, c[np.searchsorted(t.words, END)]).astype(np.uint32)
-        trained = np.bincount(t.pair, ~held[t.doc], len(t.pairs)).astype(np.uint32)
-        to, out = t.pair_owner(count, c, sum(r["tokens"] for r in told.values())), []
-        for b in range(count):
-            x = np.flatnonzero(to == b)
-            if not len(x):
-                continue
-            head = np.flatnonzero(np.diff(t.c[x], prepend=-1))
-            used, word = np.unique(t.w[x], return_inverse=True)
-            ctx = t.c[x[head]]
-            out.append((b, block, steps(t.words[used]), steps(t.contexts[ctx]), R.planes(c[ctx]), R.planes(np.diff(np.append(head, len(x))).astype(np.uint32)), R.planes(word.reshape(-1).astype(np.uint32)), R.planes(trained[x])))
-        return _rows(out, ask)
-
-    def own_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in b.to_pylist()]
-        for owner in sorted({r["owner"] for r in rows}):
-            mine = [r for r in rows if r["owner"] == owner]
-            own, sizes, seen = [], [], []
-            for r in mine:
-                run = R.unplanes(r["run"], np.uint32).astype(np.int64)
-                ctx = np.repeat(unsteps(r["context"]), run)
-                word = unsteps(r["names"])[R.unplanes(r["word"], np.uint32)]
-                n = R.unplanes(r["trained"], np.uint32)
-                k = np.flatnonzero(n)
-                seen.append((ctx[k], word[k], n[k], np.repeat(R.unplanes(r["total"], np.uint32), run)[k]))
-                sizes.append(len(word))
-            ctx, word, n, total = (np.concatenate(x) for x in zip(*seen))
-            del seen
-            order = np.lexsort((word, ctx))
-            ctx, word, n, total = ctx[order], word[order], n[order], total[order]
-            head = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])])) if len(ctx) else np.zeros(0, np.int64)
-            c12 = np.add.reduceat(n.astype(np.int64), head) if len(head) else n
-            q = np.minimum(np.rint(-np.log10(c12 / (total[head] + prior)) * STEP), MISSING - 1).astype(np.uint16)
-            trie = Trie(ctx[head], word[head], q)
-            del ctx, word, n, total, order
-            for r in mine:
-                run = R.unplanes(r["run"], np.uint32).astype(np.int64)
-                ctx = np.repeat(unsteps(r["context"]), run)
-                word = unsteps(r["names"])[R.unplanes(r["word"], np.uint32)]
-                yield pa.RecordBatch.from_pydict({"block": [r["block"]], "owner": [owner], "kind": [1], "tokens": [0], "types": [0], "body": [R.planes(trie.find(ctx, word, MISSING))]}, schema=tell)
-
-    result = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return result.empty_table()
-        _, ids, held, texts = columns(left)
-        t, told = Tokens(texts), _replies(right, 0)
-        c, n, v = counts(t, told), sum(r["tokens"] for r in told.values()), sum(r["types"] for r in told.values())
-        unigram = (c + 1) / (n + v + 1)
-        each = np.append(c, c[np.searchsorted(t.words, END)])
-        q, to = np.full(len(t.pairs), MISSING, np.uint16), t.pair_owner(count, each.astype(np.uint32), n)
-        for b, r in _replies(right, 1).items():
-            q[to == b] = R.unplanes(r["body"], np.uint16)
-        totals = each[t.c]
-        p = np.where(q == MISSING, 0.0, 10.0 ** (-q.astype(np.float64) / STEP)) + prior * unigram[t.w] / (totals + prior)
-        docs_ = len(texts)
-        cols = [
-            pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(held), pa.array(t.n.astype(np.int64)), pa.array(np.bincount(t.doc, c[t.word] > 0, docs_).astype(np.int64)),
-            pa.array(np.full(docs_, n, np.int64)), pa.array(np.bincount(t.doc, np.log10(unigram)[t.word], docs_)), pa.array(np.bincount(t.doc, np.log10(p)[t.pair], docs_)),
-        ]
-        return pa.Table.from_arrays(cols, schema=result)
-
-    known = dealt.groupBy("block").applyInArrow(ask_words, ddl(ask)).repartition(count, "owner").mapInArrow(own_words, ddl(tell)).repartition(count, "block")
-    pairs = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(ask_pairs, ddl(ask)).repartition(count, "owner").mapInArrow(own_pairs, ddl(tell)).repartition(count, "block")
-    told = known.unionByName(pairs)
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    held = F.coalesce(crc_mod(F.col(id_col).cast("long"), fold[0]) == fold[1], F.lit(False))
+    size, trained = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string")) + 1), F.lit(0)), F.coalesce(F.sum((~held).cast("long")), F.lit(0))).first()
+    owners = M.owners_for(size, spark, owner_bytes)
+
+    def tell(b: T.Block, n: int) -> np.ndarray:
+        return np.bincount(b.tokens, ~b.mark[b.doc], n).astype(np.uint32)
+
+    cut = materialize(T.cut(docs, owners, tell, id_col, text_col, held, True, block_bytes), "tokens")
+    base = cut.where(F.col("kind") == T.BASE)
+    counts = materialize(M.settle(cut.where(F.col("kind") == T.WORDS), owners, COUNTS, lambda o, _, asked: count_words(o, asked, owners)), "counts")
+    said = counts.groupBy("source").agg(F.first("a").alias("a"), F.first("b").alias("b")).agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    totals = Totals(said[0], said[1], trained, owners)
+
+    def ask(block: int, mail: M.Mail) -> pa.Table:
+        return M.table(Grams(mail, totals).ask(block))
+
+    def end(block: int, mail: M.Mail) -> pa.Table:
+        g = Grams(mail, totals)
+        known, low, score = g.scores(mail[FOUND], prior)
+        ids = pa.array(g.block.ids, pa.int64(), mask=g.block.null)
+        cols = [ids, g.block.mark, g.n, known, np.full(len(ids), totals.n), low, score]
+        return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    found = M.settle(M.visit_with(base, counts, ask), owners, FOUND, lambda o, _, asked: own_pairs(asked, totals.n))
+    return M.visit_with(base, counts.unionByName(found), end, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from termwright.llm.runtime import partitions, trim
 
@@ -70,8 +70,8 @@ def table(rows: list[Row]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(SCHEMA), SCHEMA)], schema=SCHEMA)
 
 
-def owners_for(text_bytes: int, spark) -> int:
-    return max(partitions(spark), -(-text_bytes // OWNER_BYTES))
+def owners_for(text_bytes: int, spark: SparkSession, each: int = OWNER_BYTES) -> int:
+    return max(partitions(spark), -(-text_bytes // each))
 
 
 class Mail:
@@ -118,19 +118,20 @@ def visit_with(base: DataFrame, rows: DataFrame, fn: Callable[[int, Mail], pa.Ta
     return base.repartition(count, "dest").groupBy("dest").cogroup(rows.repartition(count, "dest").groupBy("dest")).applyInArrow(run, schema)
 
 
-def settle(asked: DataFrame, owners: int, kind: int, own: Callable[[int, list[Parts]], list[Parts]]) -> DataFrame:
-    """Owners' answers to the rows asked, addressed to those who asked. own() sees all questions to one owner and answers each."""
+def settle(asked: DataFrame, owners: int, kind: int, own: Callable[[int, list[int], list[Parts]], list[tuple[int, int, Parts]]]) -> DataFrame:
+    """Owners' answers to the rows asked, addressed to those who asked. own() sees who asked its owner what, in the order of who asked, and answers each with a, b and parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine: dict[int, list[tuple[int, Parts]]] = {}
-        for b in batches:
-            for dest, source, parts in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(5).to_pylist()):
+        for batch in batches:
+            for dest, source, parts in zip(*(batch.column(i).to_pylist() for i in (0, 2, 5))):
                 mine.setdefault(dest, []).append((source, parts))
         while mine:
             owner, rows = mine.popitem()
             rows.sort(key=lambda r: r[0])
-            for (source, _), parts in zip(rows, own(owner, [p for _, p in rows])):
-                yield from table([(source, kind, owner, 0, 0, parts)]).to_batches()
+            sources = [s for s, _ in rows]
+            for source, (a, b, parts) in zip(sources, own(owner, sources, [p for _, p in rows])):
+                yield from table([(source, kind, owner, a, b, parts)]).to_batches()
         trim()
 
     return asked.repartitionById(owners, asked["dest"].cast("int")).mapInArrow(run, DDL)

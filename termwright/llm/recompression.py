@@ -15,7 +15,7 @@ Should two different windows ever share a hash, all that meet are settled by the
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -176,7 +176,7 @@ class Level:
         return s.pick(~out & alive.around(s.lo, s.hi)), alive
 
 
-def name_keys(owner: int, asked: list[M.Parts], owners: int, level: int, levels: int) -> list[M.Parts]:
+def name_keys(owner: int, asked: list[M.Parts], owners: int, level: int, levels: int) -> list[tuple[int, int, M.Parts]]:
     """Names of the keys that two documents have, by comparing the keys."""
     a, b = np.concatenate([M.unpack_sorted(p[0]) for p in asked]), np.concatenate([M.unpack(p[1], U64) for p in asked])
     sizes = [len(M.unpack(p[0], U64)) for p in asked]
@@ -188,12 +188,12 @@ def name_keys(owner: int, asked: list[M.Parts], owners: int, level: int, levels:
     for n in sizes:
         mine = of[at : at + n]
         has = shared[mine]
-        out.append([M.bits(has), M.pack_sorted(names[mine[has]].astype(U64))])
+        out.append((0, 0, [M.bits(has), M.pack_sorted(names[mine[has]].astype(U64))]))
         at += n
     return out
 
 
-def name_words(owner: int, asked: list[M.Parts], owners: int, levels: int) -> list[M.Parts]:
+def name_words(owner: int, asked: list[M.Parts], owners: int, levels: int) -> list[tuple[int, int, M.Parts]]:
     """Names of the words that two documents have, by comparing the words; zero for others."""
     index, of, own = T.Numbered(), [], []
     for p in asked:
@@ -202,7 +202,7 @@ def name_words(owner: int, asked: list[M.Parts], owners: int, levels: int) -> li
         own.append(M.unpack(p[2], np.uint8))
     shared = np.bincount(np.concatenate(of), 1 + np.concatenate(own), len(index)) > 1
     names = np.where(shared, ((np.cumsum(shared) - 1) * owners + owner + 1) * levels, 0).astype(U64)
-    return [[p[1], M.pack(names[x])] for p, x in zip(asked, of)]
+    return [(0, 0, [p[1], M.pack(names[x])]) for p, x in zip(asked, of)]
 
 
 class Words:
@@ -302,7 +302,7 @@ class Repeats:
         return [(0, ODD, block, d, i, [w.tobytes()]) for d, i, w in zip(self.c.ids[at].tolist(), at.tolist(), self.c.windows(at))]
 
 
-def first_of(asked: list[M.Parts], sources: list[int]) -> list[M.Parts]:
+def first_of(asked: list[M.Parts], sources: list[int]) -> list[tuple[int, int, M.Parts]]:
     """For each hash asked about that another block has too and that does not stand first here: block and place of the first, and whether it is in a smaller document."""
     hs = [M.unpack_sorted(p[0]) for p in asked]
     sizes = [len(h) for h in hs]
@@ -318,7 +318,7 @@ def first_of(asked: list[M.Parts], sources: list[int]) -> list[M.Parts]:
     for n in sizes:
         k = known[i : i + n]
         to = lead[i : i + n][k]
-        out.append([M.bits(k), M.pack(source[to]), M.pack(at[to]), M.bits(less[i : i + n])])
+        out.append((0, 0, [M.bits(k), M.pack(source[to]), M.pack(at[to]), M.bits(less[i : i + n])]))
         i += n
     return out
 
@@ -341,7 +341,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
 
     cut = materialize(T.cut(docs, owners, tell, id_col, text_col, block_bytes=block_bytes), "words")
     base = cut.where(F.col("kind") == T.BASE)
-    words = M.settle(cut.where(F.col("kind") == T.WORDS), owners, NAMES, lambda o, asked: name_words(o, asked, owners, levels))
+    words = M.settle(cut.where(F.col("kind") == T.WORDS), owners, NAMES, lambda o, _, asked: name_words(o, asked, owners, levels))
 
     def ask_first(block: int, mail: M.Mail) -> pa.Table:
         w = Words(mail, window)
@@ -353,8 +353,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         rows = Level(symbols, alive, w.ids, 2, owners).ask(block)
         return M.table([(block, COVERED, block, 0, 0, Covered.parts(w, alive)), (block, STATE, block, 0, 0, [M.bits(alive.flags), *symbols.parts()]), *rows])
 
-    def namer(level: int):
-        return lambda o, asked: name_keys(o, asked, owners, level, levels)
+    def namer(level: int) -> Callable:
+        return lambda o, _, asked: name_keys(o, asked, owners, level, levels)
 
     keys = M.settle(M.visit_with(base, words, ask_first), owners, KEY_NAMES, namer(1))
     state = materialize(M.visit_with(base, words.unionByName(keys), after_first), "level")
@@ -385,7 +385,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         odd = r.settle_odd(block, np.zeros(len(r.lead), bool)) if r.odd.any() else []
         return M.table([(block, GONE, block, 0, 0, [M.pack_sorted(np.sort(r.gone()).astype(np.uint32))]), *r.claims(block), *odd])
 
-    first = owners_first(M.visit(kept, ask_windows), owners)
+    first = M.settle(M.visit(kept, ask_windows), owners, FIRST, lambda o, sources, asked: first_of(asked, sources))
     said = materialize(M.visit_with(kept, first, claim), "repeats")
     claims, odd = said.where(F.col("kind") == CLAIM), said.where(F.col("kind") == ODD)
 
@@ -432,23 +432,6 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     return out.withColumn("kept", F.col("kept").cast("string"))
 
 
-def owners_first(asked: DataFrame, owners: int) -> DataFrame:
-    """Answers of first_of(); sources are the asking blocks, which owners see in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine: dict[int, list[tuple[int, M.Parts]]] = {}
-        for b in batches:
-            for dest, source, parts in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(5).to_pylist()):
-                mine.setdefault(dest, []).append((source, parts))
-        while mine:
-            owner, rows = mine.popitem()
-            rows.sort(key=lambda r: r[0])
-            for (source, _), parts in zip(rows, first_of([p for _, p in rows], [s for s, _ in rows])):
-                yield from M.table([(source, FIRST, owner, 0, 0, parts)]).to_batches()
-
-    return asked.repartitionById(owners, asked["dest"].cast("int")).mapInArrow(run, M.DDL)
-
-
 def settled(kept: DataFrame, first: DataFrame, claims: DataFrame, odd: DataFrame, bad: DataFrame, met, owners: int) -> DataFrame:
     """GONE rows that correct the others: a = 1, places that are not borne out; a = 2, places that repeat by their names themselves."""
     wrong = claims.join(bad.where(F.col("kind") == BAD).select("dest", "a", "parts"), ["dest", "a", "parts"], "left_semi").select(F.col("source").alias("dest"), F.lit(BAD).alias("kind"), F.lit(0).cast("long").alias("source"), F.col("b").alias("a"), F.lit(0).cast("long").alias("b"), "parts")
