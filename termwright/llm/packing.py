@@ -1,9 +1,11 @@
 """Best-fit packing through a configuration linear program.
 
 Pieces matter to the program only by length, and there are at most `capacity` lengths, so the histogram is
-all the driver sees whatever the corpus. Multiplicative weights price the lengths, a knapsack dynamic
-program finds the best configuration at those prices, and the fractional solution is rounded down. Pieces
-left over fill sequences by exact subset sums over the remaining histogram. Spark then deals the pieces of
+all the driver sees whatever the corpus. Lengths are priced in classes: multiplicative weights price the
+classes, a knapsack dynamic program finds the best configuration at those prices, and each configuration is
+used for a share of the demand it covers, until the demand is covered. Counts are rounded along the running
+sum of the fractional ones, and subset sums choose the lengths that a class stands for, so that a sequence comes
+out full. What rounding leaves uncovered goes through the same program again. Spark then deals the pieces of
 each length, by rank, to the slots that the configurations hold for it.
 """
 
@@ -11,141 +13,219 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from termwright.llm.runtime import id_text, materialize, slices, trim
+from termwright.llm import messages as M, tokens as T
+from termwright.llm.runtime import materialize
 
-REMEMBERED = 300_000
+IDS = 2
+#: Lengths priced as one at most: the program has so many rows.
+CLASSES = 64
+#: Rows of the slot table that are broadcast at most (about 60 bytes each).
+BROADCAST_ROWS = 400_000
+#: Words encoded at once: an encoding is far larger than its ids.
+LOT = 4096
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, part (the task that made it), and with_ids the token ids.
+def encode_words(asked: list[M.Parts], tokenizer_path: str) -> list[tuple[int, int, M.Parts]]:
+    """The ids of every word, each distinct word encoded once."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path)
+    index, of = T.Numbered(), []
+    for p in asked:
+        words = M.zstd.decompress(p[0]).split(b" ")
+        of.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
+    words, sizes, lots = list(index), [], []
+    for at in range(0, len(words), LOT):
+        ids = [e.ids for e in tok.encode_batch([w.decode("utf-8", "replace") for w in words[at : at + LOT]], add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        lots.append(np.fromiter((i for x in ids for i in x), np.uint32, int(sizes[-1].sum())))
+    size, ids = np.concatenate(sizes), np.concatenate(lots)
+    start = np.cumsum(size) - size
+    return [(0, 0, [p[1], M.pack(size[x].astype(np.uint16)), M.pack(ids[M.flat(start[x], size[x])])]) for p, x in zip(asked, of)]
+
+
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, block_bytes: int = M.BLOCK_BYTES) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, part (the block that made it), and with_ids the token ids.
 
     White space never enters a token of a word-level tokenizer, so a text's ids are those of its words.
     """
+    owners = M.owners_for(T.text_bytes(docs, text_col), docs.sparkSession)
+    cut = materialize(T.cut(docs, owners, lambda b, n: np.zeros(n, np.uint8), id_col, text_col, block_bytes=block_bytes), "words")
+    ids = M.settle(cut.where(F.col("kind") == T.WORDS), owners, IDS, lambda o, _, asked: encode_words(asked, tokenizer_path))
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "part"]
+
+    def end(block: int, mail: M.Mail) -> pa.Table:
+        b = T.Block(mail.one(T.BASE))
+        size, start, lots, at = np.zeros(b.distinct, np.int64), np.zeros(b.distinct, np.int64), [np.zeros(0, np.uint32)], 0
+        for r in mail[IDS]:
+            x, n = M.unpack_sorted(r[5][0], np.uint32), M.unpack(r[5][1], np.uint16).astype(np.int64)
+            size[x], start[x] = n, at + np.cumsum(n) - n
+            lots.append(M.unpack(r[5][2], np.uint32))
+            at += len(lots[-1])
+        ids = np.concatenate(lots)
+        rows, lo, last = [], 0, np.array([end_id], np.uint32)
+        for d, null, n in zip(b.ids.tolist(), b.null.tolist(), b.sizes.tolist()):
+            x = b.tokens[lo : lo + n]
+            lo += n
+            doc = np.concatenate([ids[M.flat(start[x], size[x])], last]).astype("<u4")
+            for k, i in enumerate(range(0, len(doc), capacity)):
+                part = doc[i : i + capacity]
+                rows.append((None if null else d, k, i, len(part), zlib.crc32(part.tobytes()), block, *([part] if with_ids else [])))
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())][: 6 + with_ids]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)), kinds)], names=[*names, "ids"][: 6 + with_ids])
+
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part long" + ", ids array<int>" * with_ids
+    return M.visit_with(cut.where(F.col("kind") == T.BASE), ids, end, schema)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(tokenizer_path)
-        tok.encode_special_tokens = True
-        known: dict[bytes, bytes] = {}
-        last = np.array([end_id], "<u4").tobytes()
-        for keys, texts in slices(batches):
-            bags = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-            new = list(set().union(*bags) - known.keys())
-            if len(known) > REMEMBERED:
-                known, new = {}, list(set().union(*bags))
-            for at in range(0, len(new), 4096):  # an encoding is far larger than its ids
-                part = new[at : at + 4096]
-                for w, e in zip(part, tok.encode_batch([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-            rows = []
-            for doc_id, words in zip(keys, bags):
-                ids = b"".join(map(known.__getitem__, words)) + last
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<u4") if with_ids else None))
-            cols = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            out = [pa.array(c, t) for c, t in zip(cols, kinds)]
-            yield pa.RecordBatch.from_arrays(out[: 5 + with_ids], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
-            trim()
-
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return id_text(docs, id_col, text_col).mapInArrow(run, schema).withColumn("part", F.spark_partition_id())
-
-
-def price(sizes: np.ndarray, value: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable multiset of sizes that fits (unbounded knapsack): index -> how often."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if n := fits[c]:
-            got = best[c - sizes[:n]] + value[:n]
-            k = int(got.argmax())
-            if got[k] > best[c]:
-                best[c], pick[c] = got[k], k
-    found, c = {}, capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            found[int(pick[c])] = found.get(int(pick[c]), 0) + 1
-            c -= int(sizes[pick[c]])
+@dataclass
+class Classes:
+    """The lengths still to place, in classes: neighbouring lengths of about the same number of tokens together."""
+
+    lengths: list[list[int]]
+    size: np.ndarray
+    demand: np.ndarray
+
+    @classmethod
+    def of(cls, left: dict[int, int], most: int) -> Classes:
+        keys = np.array(sorted(left))
+        count = np.array([left[k] for k in keys.tolist()])
+        mass = np.cumsum(keys * count)
+        group = np.minimum(mass * most // (mass[-1] + 1), most - 1) if len(keys) > most else np.arange(len(keys))
+        heads = np.flatnonzero(np.diff(group, prepend=-1))
+        demand = np.add.reduceat(count, heads)
+        size = np.rint(np.add.reduceat(keys * count, heads) / demand).astype(np.int64)
+        return cls([x.tolist() for x in np.split(keys, heads[1:])], size, demand.astype(float))
+
+
+def price(size: np.ndarray, value: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
+    """The most valuable multiset that fits, of each class at most `most`: class -> how often. Of equal ones that with the larger sizes."""
+    best = np.zeros(capacity + 1, np.float32)
+    steps: list[tuple[int, int, np.ndarray]] = []
+    for i in range(len(size) - 1, -1, -1):
+        left, k = min(int(most[i]), capacity // int(size[i])), 1
+        while left > 0:
+            k = min(k, left)
+            s = k * int(size[i])
+            with_ = best[:-s] + np.float32(k * value[i])
+            better = with_ > best[s:]
+            np.maximum(best[s:], with_, out=best[s:])
+            steps.append((i, k, better))
+            left, k = left - k, 2 * k
+    found, room = {}, capacity
+    for i, k, better in reversed(steps):
+        s = k * int(size[i])
+        if room >= s and better[room - s]:
+            found[i] = found.get(i, 0) + k
+            room -= s
     return found
 
 
-def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 60, step: float = 0.25) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how often each is used, by multiplicative weights: covered lengths lose weight."""
-    weight = np.ones(len(sizes))
-    covered = np.zeros(len(sizes))
-    used: list[tuple[dict[int, int], float]] = []
-    for _ in range(rounds):
-        # a token of a covered length is worth less; full configurations win among equals
-        config = price(sizes, sizes / capacity * weight, capacity)
+def fractional(classes: Classes, capacity: int, step: float = 0.34, sharp: float = 3.0, tolerance: float = 0.01) -> list[tuple[dict[int, int], float]]:
+    """Configurations and how often each is used, by multiplicative weights, until all but `tolerance` of the tokens are covered.
+
+    A class weighs less the more of it is covered, so what is hard to place is placed while there is still
+    company for it.
+    """
+    size, demand = classes.size, classes.demand
+    left, used = demand.copy(), []
+    mass = float((demand * size).sum())
+    while float((left * size).sum()) > tolerance * mass:
+        weight = size * np.exp(sharp * left / demand)
+        config = price(size, weight, np.ceil(left), capacity)
         at, often = np.fromiter(config, int), np.fromiter(config.values(), float)
-        x = step * float((demand[at] / often).min())
+        # a share of the demand that is left, or what uses a class up when little is
+        x = float((left[at] / often).min())
+        x = x if x < 1 / step else max(1.0, step * x)
         used.append((config, x))
-        covered[at] += often * x / demand[at]
-        weight[at] *= np.exp(-often * x / demand[at])
-    most = max(1.0, covered.max(initial=0.0))
-    return [(c, x / most) for c, x in used]
-
-
-def fill(sizes: list[int], left: list[int], capacity: int) -> dict[int, int]:
-    """A sequence for the largest remaining piece: the rest of it is filled to the best reachable sum."""
-    first = max(i for i, n in enumerate(left) if n)
-    room, mask = capacity - sizes[first], (1 << capacity - sizes[first] + 1) - 1
-    reach, trail = 1, []
-    for i in range(first, -1, -1):
-        n, k = left[i] - (i == first), 1
-        while n > 0 and sizes[i] <= room:
-            k = min(k, n)
-            grown = (reach | reach << k * sizes[i]) & mask
-            trail.append((i, k, reach))
-            reach, n, k = grown, n - k, 2 * k
-            if sizes[i] * k > room:
-                break
-        if reach >> room & 1:
-            break
-    at, found = reach.bit_length() - 1, {first: 1}
-    for i, k, before in reversed(trail):
-        if not before >> at & 1:
-            found[i] = found.get(i, 0) + k
-            at -= k * sizes[i]
+        left[at] = np.maximum(left[at] - often * x, 0)
+        left[left < 1e-9] = 0
+    return used
+
+
+def rounded(used: list[tuple[dict[int, int], float]]) -> list[tuple[dict[int, int], int]]:
+    """Whole numbers whose running sum is never more than one half from that of the fractional ones."""
+    out, total, given = [], 0.0, 0
+    for config, x in used:
+        total += x
+        n = int(np.floor(total + 0.5)) - given
+        given += n
+        if n:
+            out.append((config, n))
+    return out
+
+
+def lengths_for(config: dict[int, int], classes: Classes, left: dict[int, int], capacity: int) -> dict[int, int]:
+    """Lengths for a configuration's classes whose sum comes closest to the capacity, of those still left: length -> how often."""
+    slots = [i for i, n in sorted(config.items(), reverse=True) for _ in range(n)]
+    mask, reach, trail = (1 << capacity + 1) - 1, 1, []
+    room: dict[int, int] = {}
+    for i in slots:
+        have = sum(left.get(k, 0) for k in classes.lengths[i])
+        if room.get(i, 0) >= have:
+            continue
+        room[i] = room.get(i, 0) + 1
+        keys, new = [k for k in classes.lengths[i] if left.get(k, 0)], 0
+        for k in keys:
+            new |= reach << k
+        new &= mask
+        if not new:
+            continue
+        trail.append((keys, reach))
+        reach = new
+    found: dict[int, int] = {}
+    at = reach.bit_length() - 1
+    for keys, before in reversed(trail):
+        fits = [k for k in keys if at >= k and before >> at - k & 1]
+        free = [k for k in fits if found.get(k, 0) < left[k]]
+        if free:
+            k = max(free, key=lambda k: left[k] - found.get(k, 0))
+            found[k] = found.get(k, 0) + 1
+            at -= k
+        elif fits:
+            at -= fits[0]
+    # a length that ran out leaves room: the largest that fit go there
+    room_left = capacity - sum(k * n for k, n in found.items())
+    for k in sorted((k for k, n in left.items() if k <= room_left and n > found.get(k, 0)), reverse=True) if room_left else []:
+        if n := min(left[k] - found.get(k, 0), room_left // k):
+            found[k] = found.get(k, 0) + n
+            room_left -= n * k
     return found
 
 
-def solve(histogram: dict[int, int], capacity: int = 4096, rounds: int = 60) -> list[tuple[dict[int, int], int]]:
-    """Configurations (length -> how often) and the number of sequences of each; every piece is placed once."""
+def solve(histogram: dict[int, int], capacity: int = 4096, most: int = CLASSES) -> list[tuple[dict[int, int], int]]:
+    """Configurations (length -> how often) and the number of sequences of each; every piece is placed once, by the program.
+
+    A sequence that comes out less full than `floor` waits for the program over what is left; where a program
+    places less than a third of it, the floor gives way.
+    """
     left = {k: n for k, n in histogram.items() if n > 0}
-    out = []
+    out, floor = [], capacity
     if full := left.pop(capacity, 0):
         out.append(({capacity: 1}, full))
-    if left:
-        sizes, demand = np.array(sorted(left)), np.array([left[k] for k in sorted(left)], float)
-        for config, x in fractional(sizes, demand, capacity, rounds):
-            if times := int(x):
-                out.append(({int(sizes[i]): n for i, n in config.items()}, times))
-                for i, n in config.items():
-                    left[int(sizes[i])] -= n * times
-    keys = sorted(left)
-    counts = [left[k] for k in keys]
-    while any(counts):
-        config = fill(keys, counts, capacity)
-        times = min(counts[i] // n for i, n in config.items())
-        out.append(({keys[i]: n for i, n in config.items()}, times))
-        for i, n in config.items():
-            counts[i] -= n * times
-        if not all(counts):
-            keys, counts = [k for k, n in zip(keys, counts) if n], [n for n in counts if n]
+    while left:
+        classes, placed, mass = Classes.of(left, most), 0, sum(k * n for k, n in left.items())
+        for config, n in rounded(fractional(classes, capacity)) or [({len(classes.size) - 1: 1}, 1)]:
+            while n:
+                found = lengths_for(config, classes, left, capacity)
+                if not found or sum(k * c for k, c in found.items()) < floor:
+                    break
+                times = min(-(-n // 4), *(left[k] // c for k, c in found.items()))
+                out.append((found, times))
+                placed, n = placed + times * sum(k * c for k, c in found.items()), n - times
+                for k, c in found.items():
+                    left[k] -= c * times
+                    if not left[k]:
+                        del left[k]
+        if placed < mass / 3:
+            floor = max(0, floor - max(1, capacity - floor))
     return out
 
 
@@ -164,23 +244,23 @@ def slots(solution: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, in
     return rows
 
 
-def pack(cut: DataFrame, capacity: int = 4096, rounds: int = 60) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 4096, most: int = CLASSES) -> DataFrame:
     """Adds sequence_id and offset to a table of pieces that has doc_id, piece, length and part.
 
-    The slot table has at most one row for each length of each configuration, and there are at most
-    capacity + rounds + 1 configurations that use up a length, each of under sqrt(2 * capacity) lengths:
-    a bound that no corpus changes, so it is broadcast.
+    The slot table is what the driver makes of a histogram of at most `capacity` lengths; it is broadcast if
+    it has no more than BROADCAST_ROWS rows, and joined by length otherwise.
     """
     spark = cut.sparkSession
     counts = materialize(cut.groupBy("part", "length").count(), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    table = spark.createDataFrame(slots(solve(histogram, capacity, rounds)), "slot_length long, first long, upto long, each long, sequence long, place long")
+    rows = slots(solve(histogram, capacity, most))
+    table = spark.createDataFrame(rows, "slot_length long, first long, upto long, each long, sequence long, place long")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
     within = Window.partitionBy("part", "length").orderBy("doc_id", "piece", "ids_crc32")
     ranked = cut.withColumn("nth", F.row_number().over(within) - 1).join(starts, ["part", "length"])
     ranked = ranked.withColumn("rank", F.col("nth") + F.col("ahead"))
-    placed = ranked.join(F.broadcast(table), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("upto")))
+    placed = ranked.join(F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table, (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("upto")))
     at = F.col("rank") - F.col("first")
     return placed.withColumns(
         {"sequence_id": F.col("sequence") + F.floor(at / F.col("each")).cast("long"), "offset": F.col("place") + at % F.col("each") * F.col("length")}
