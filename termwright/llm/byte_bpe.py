@@ -1,9 +1,10 @@
 """Byte-level BPE by corpus-level merge replay.
 
-A task gathers the distinct pieces of its share of the corpus, lays them out as one symbol array, and keeps
-an inverted index from mergeable token pair to the places where it stands. The lowest rank in the index is
-replayed at all its places at once; only the neighbours of a merged pair enter the index anew. Documents are
-then encoded by looking their pieces up.
+Blocks of documents send their distinct chunks, words with the blank before them, to owners, so every chunk of the
+corpus is encoded once. An owner lays the distinct pieces of its chunks out as one symbol array and keeps an
+inverted index from mergeable token pair to the places where it stands. The lowest rank in the index is
+replayed at all its places at once; only the neighbours of a merged pair enter the index anew. Blocks then
+put documents together from what owners say of their chunks.
 """
 
 from __future__ import annotations
@@ -11,20 +12,22 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from termwright.llm.runtime import id_text
+from termwright.llm import messages as M, tokens as T
+from termwright.llm.runtime import materialize
 
-#: Text gathered before its new pieces are replayed together, and remembered chunks before the memory starts anew.
-CORPUS_CHARS = 8 << 20
-REMEMBERED = 400_000
-#: A word with the blank before it, or white space the way the split pattern leaves it; no piece crosses these.
-CHUNK = r" ?\S+|\s+(?!\S)|\s+"
+IDS = 2
+BLOCK_BYTES = 16 << 20
+#: Distinct pieces replayed together.
+REPLAYED = 1 << 18
+#: White space that is more than one blank between two words.
+ODD_SPACE = regex.compile(r"(\s*[^\S ]\s*|  +)")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -142,77 +145,98 @@ class MergeReplay:
         return [self.scalar(p) if o else x.tolist() for p, o, x in zip(pieces, odd.tolist(), ids)]
 
 
-class Encoder:
-    """Documents to token ids; pieces seen before are remembered, new ones of a batch are replayed together."""
-
-    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED):
-        ranks = load_ranks(path)
-        self.replay, self.remembered = MergeReplay(ranks), remembered
-        self.pattern, self.chunk = regex.compile(pattern), regex.compile(CHUNK)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.bytes_of = {r: t for t, r in ranks.items()}
-
-    def encode(self, texts: list[str]) -> Iterator[list[tuple[int, ...]]]:
-        """For each text, the ids of its chunks in order."""
-        chunks = [self.chunk.findall(t) for t in texts]
-        new = set().union(*chunks) - self.known.keys()
-        if len(self.known) > self.remembered:
-            self.known = {}
-            new = set().union(*chunks)
-        parts = {c: [p.encode() for p in self.pattern.findall(c)] for c in new}
-        pieces = list(set().union(*parts.values()))
-        ids = dict(zip(pieces, self.replay.encode(pieces)))
-        for c, ps in parts.items():
-            self.known[c] = tuple(i for p in ps for i in ids[p])
-        for doc in chunks:
-            yield [self.known[c] for c in doc]
-
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
-
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, corpus_chars: int = CORPUS_CHARS) -> DataFrame:
+@lru_cache(2)
+def vocabulary(path: str) -> tuple[MergeReplay, dict[int, bytes]]:
+    """One for each worker process."""
+    ranks = load_ranks(path)
+    return MergeReplay(ranks), {r: t for t, r in ranks.items()}
+
+
+def chunks(text: bytes) -> list[str]:
+    """Words with the blank before them, and white space the way the split pattern leaves it; no piece crosses these.
+
+    Of white space before a word the pattern keeps the last character apart, and only a blank joins the word.
+    """
+    out: list[str] = []
+    white = None
+    for k, part in enumerate(ODD_SPACE.split(text.decode("utf-8", "surrogatepass"))):
+        if k % 2:
+            white = part
+            continue
+        if not part:
+            continue
+        # words with single blanks between them; one before the first is no odd white space
+        words = part.split(" ")
+        first, rest = words[0], words[1:]
+        if white is not None:
+            if white[:-1]:
+                out.append(white[:-1])
+            if white[-1] == " ":
+                first = " " + first
+            else:
+                out.append(white[-1])
+            white = None
+        if first:
+            out.append(first)
+        out += [" " + w for w in rest]
+    if white is not None:
+        out.append(white)
+    return out
+
+
+def encode_chunks(asked: list[M.Parts], path: str, pattern: str) -> list[tuple[int, int, M.Parts]]:
+    """The ids of every chunk: the distinct pieces of all that were asked for are replayed together."""
+    split, (replay, _) = regex.compile(pattern), vocabulary(path)
+    index, of = T.Numbered(), []
+    for p in asked:
+        words = T.read_words(p)
+        of.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
+    pieces = T.Numbered()
+    parts = [[pieces[x.encode("utf-8", "surrogatepass")] for x in split.findall(w.decode("utf-8", "surrogatepass"))] for w in index]
+    listed, ids = list(pieces), []
+    for at in range(0, len(listed), REPLAYED):
+        ids += replay.encode(listed[at : at + REPLAYED])
+    whole = [ids[x[0]] if len(x) == 1 else [i for p in x for i in ids[p]] for x in parts]
+    size = np.fromiter(map(len, whole), np.int64, len(whole))
+    flat, start = np.fromiter((i for x in whole for i in x), np.uint32, int(size.sum())), np.cumsum(size) - size
+    return [(0, 0, [p[0], M.pack(size[x].astype(np.uint32)), M.pack(flat[M.flat(start[x], size[x])])]) for p, x in zip(asked, of)]
+
+
+def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, and with_ids the ids themselves.
 
     A null text counts as empty and has no tokens. Texts are encoded whole; decoding gives their exact UTF-8
     bytes back. Repeated rows repeat; an empty table gives an empty result; other columns are ignored. The
     vocabulary file must be readable on every executor.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path, pattern)
-        shown: dict[tuple[int, ...], tuple[str, bytes]] = {}
-
-        def both(t: tuple[int, ...]) -> tuple[str, bytes]:
-            if t not in shown:
-                shown[t] = (" ".join(map(str, t)), enc.decode(t))
-            return shown[t]
-
-        def result(keys: list, texts: list[str]) -> pa.RecordBatch:
-            if len(shown) > enc.remembered:
-                shown.clear()
-            n, a, b, ids = [], [], [], []
-            for doc in enc.encode(texts):
-                pairs = list(map(both, doc))
-                n.append(sum(map(len, doc)))
-                a.append(hashlib.sha256(" ".join([x for x, _ in pairs]).encode()).hexdigest())
-                b.append(hashlib.sha256(b"".join([y for _, y in pairs])).hexdigest())
+    owners = M.owners_for(T.text_bytes(docs, text_col), docs.sparkSession)
+    cut = materialize(T.cut(docs, owners, lambda b, n: np.zeros(n, np.uint8), id_col, text_col, split=chunks, block_bytes=block_bytes), "chunks")
+    ids = M.settle(cut.where(F.col("kind") == T.WORDS), owners, IDS, lambda o, _, asked: encode_chunks(asked, path, pattern))
+
+    def end(block: int, mail: M.Mail) -> pa.Table:
+        b, (_, bytes_of) = T.Block(mail.one(T.BASE)), vocabulary(path)
+        shown, decoded, known = [""] * b.distinct, [b""] * b.distinct, [[]] * b.distinct
+        size = np.zeros(b.distinct, np.int64)
+        for r in mail[IDS]:
+            x, n, flat = M.unpack_sorted(r[5][0], np.uint32), M.unpack(r[5][1], np.uint32), M.unpack(r[5][2], np.uint32).tolist()
+            size[x] = n
+            to = np.cumsum(n, dtype=np.int64).tolist()
+            for i, lo, hi in zip(x.tolist(), [0, *to[:-1]], to):
+                mine = flat[lo:hi]
+                shown[i], decoded[i] = " ".join(map(str, mine)), b"".join(map(bytes_of.__getitem__, mine))
                 if with_ids:
-                    ids.append([i for t in doc for i in t])
-            cols = {"doc_id": pa.array(keys, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a), "decoded_sha256": pa.array(b)}
-            return pa.RecordBatch.from_pydict(cols | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {}))
-
-        keys, texts, size = [], [], 0
-        for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys.append(k)
-                texts.append(t or "")
-                size += len(texts[-1])
-                if size >= corpus_chars:
-                    yield result(keys, texts)
-                    keys, texts, size = [], [], 0
-        if keys:
-            yield result(keys, texts)
+                    known[i] = mine
+        rows, at = [], 0
+        for d, null, n in zip(b.ids.tolist(), b.null.tolist(), b.sizes.tolist()):
+            x = b.tokens[at : at + n]
+            at += n
+            doc = x.tolist()
+            text = hashlib.sha256(" ".join(map(shown.__getitem__, doc)).encode()).hexdigest()
+            back = hashlib.sha256(b"".join(map(decoded.__getitem__, doc))).hexdigest()
+            rows.append((None if null else d, int(size[x].sum()), text, back, *([[i for c in doc for i in known[c]]] if with_ids else [])))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())][: 4 + with_ids]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)), kinds)], names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return id_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return M.visit_with(cut.where(F.col("kind") == T.BASE), ids, end, schema)

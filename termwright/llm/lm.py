@@ -33,14 +33,14 @@ def count_words(owner: int, asked: list[M.Parts], owners: int) -> list[tuple[int
     """Names (frequent words first) and training counts of the words, by comparing the words; a and b are the owner's trained tokens and types."""
     index, of, said = T.Numbered(), [], []
     for p in asked:
-        words = M.zstd.decompress(p[0]).split(b" ")
+        words = T.read_words(p)
         of.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
-        said.append(M.unpack(p[2], np.uint32))
+        said.append(M.unpack(p[1], np.uint32))
     c = np.bincount(np.concatenate(of), np.concatenate(said), len(index)).astype(np.int64)
     rank = np.empty(len(c), np.int64)
     rank[np.argsort(-c, kind="stable")] = np.arange(len(c))
     names = (rank * owners + owner + FIRST_NAME).astype(U64)
-    return [(int(c.sum()), int((c > 0).sum()), [p[1], M.pack(names[x]), M.pack(c[x])]) for p, x in zip(asked, of)]
+    return [(int(c.sum()), int((c > 0).sum()), [p[0], M.pack(names[x]), M.pack(c[x])]) for p, x in zip(asked, of)]
 
 
 class Totals:
@@ -224,7 +224,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     def tell(b: T.Block, n: int) -> np.ndarray:
         return np.bincount(b.tokens, ~b.mark[b.doc], n).astype(np.uint32)
 
-    cut = materialize(T.cut(docs, owners, tell, id_col, text_col, held, True, block_bytes), "tokens")
+    cut = materialize(T.cut(docs, owners, tell, id_col, text_col, held, T.lower_words, block_bytes), "tokens")
     base = cut.where(F.col("kind") == T.BASE)
     counts = materialize(M.settle(cut.where(F.col("kind") == T.WORDS), owners, COUNTS, lambda o, _, asked: count_words(o, asked, owners)), "counts")
     said = counts.groupBy("source").agg(F.first("a").alias("a"), F.first("b").alias("b")).agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()

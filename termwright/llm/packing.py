@@ -39,7 +39,7 @@ def encode_words(asked: list[M.Parts], tokenizer_path: str) -> list[tuple[int, i
     tok = Tokenizer.from_file(tokenizer_path)
     index, of = T.Numbered(), []
     for p in asked:
-        words = M.zstd.decompress(p[0]).split(b" ")
+        words = T.read_words(p)
         of.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
     words, sizes, lots = list(index), [], []
     for at in range(0, len(words), LOT):
@@ -48,7 +48,7 @@ def encode_words(asked: list[M.Parts], tokenizer_path: str) -> list[tuple[int, i
         lots.append(np.fromiter((i for x in ids for i in x), np.uint32, int(sizes[-1].sum())))
     size, ids = np.concatenate(sizes), np.concatenate(lots)
     start = np.cumsum(size) - size
-    return [(0, 0, [p[1], M.pack(size[x].astype(np.uint16)), M.pack(ids[M.flat(start[x], size[x])])]) for p, x in zip(asked, of)]
+    return [(0, 0, [p[0], M.pack(size[x].astype(np.uint16)), M.pack(ids[M.flat(start[x], size[x])])]) for p, x in zip(asked, of)]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, block_bytes: int = M.BLOCK_BYTES) -> DataFrame:

@@ -197,12 +197,12 @@ def name_words(owner: int, asked: list[M.Parts], owners: int, levels: int) -> li
     """Names of the words that two documents have, by comparing the words; zero for others."""
     index, of, own = T.Numbered(), [], []
     for p in asked:
-        words = M.zstd.decompress(p[0]).split(b" ")
+        words = T.read_words(p)
         of.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
-        own.append(M.unpack(p[2], np.uint8))
+        own.append(M.unpack(p[1], np.uint8))
     shared = np.bincount(np.concatenate(of), 1 + np.concatenate(own), len(index)) > 1
     names = np.where(shared, ((np.cumsum(shared) - 1) * owners + owner + 1) * levels, 0).astype(U64)
-    return [(0, 0, [p[1], M.pack(names[x])]) for p, x in zip(asked, of)]
+    return [(0, 0, [p[0], M.pack(names[x])]) for p, x in zip(asked, of)]
 
 
 class Words:

@@ -54,20 +54,34 @@ class Block:
         return [M.pack(self.ids), M.bits(self.null), M.bits(self.mark), M.pack(self.sizes.astype(np.uint32)), M.pack(self.tokens)]
 
 
-def tokenised(docs: list[tuple[int | None, bytes, bool]], lower: bool) -> tuple[Block, list[bytes]]:
+def lower_words(text: bytes) -> list[bytes]:
+    return text.lower().split()
+
+
+def write_words(words: list[bytes]) -> M.Parts:
+    return [M.zstd.compress(b"".join(words), 1), M.pack(np.fromiter(map(len, words), np.uint32, len(words)))]
+
+
+def read_words(parts: M.Parts) -> list[bytes]:
+    """The words of a WORDS row."""
+    raw, ends = M.zstd.decompress(parts[2]), np.cumsum(M.unpack(parts[3], np.uint32), dtype=np.int64).tolist()
+    return [raw[i:j] for i, j in zip([0, *ends[:-1]], ends)]
+
+
+def tokenised(docs: list[tuple[int | None, bytes, bool]], split: Callable[[bytes], list]) -> tuple[Block, list[bytes]]:
     """A block, and its distinct words by number, the most frequent first."""
     docs = sorted(docs, key=lambda d: (NO_ID if d[0] is None else d[0], d[0] is None))
     index, flat, sizes = Numbered(), [], []
     for _, text, _ in docs:
         before = len(flat)
-        flat.extend(map(index.__getitem__, (text.lower() if lower else text).split()))
+        flat.extend(map(index.__getitem__, split(text)))
         sizes.append(len(flat) - before)
     tokens = np.array(flat, np.uint32)
     del flat
     order = np.argsort(-np.bincount(tokens, minlength=len(index)), kind="stable")
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
-    words = list(index)
+    words = [w.encode("utf-8", "surrogatepass") if isinstance(w, str) else w for w in index]
     block = Block.__new__(Block)
     block.ids = np.array([NO_ID if d is None else d for d, _, _ in docs], np.int64)
     block.null = np.array([d is None for d, _, _ in docs], bool)
@@ -76,21 +90,21 @@ def tokenised(docs: list[tuple[int | None, bytes, bool]], lower: bool) -> tuple[
     return block, [words[i] for i in order.tolist()]
 
 
-def cut(docs: DataFrame, owners: int, tell: Callable[[Block, int], np.ndarray], id_col: str, text_col: str, mark: Column | None = None, lower: bool = False, block_bytes: int = M.BLOCK_BYTES) -> DataFrame:
-    """BASE rows to blocks and WORDS rows to owners: the distinct words, their numbers, and what tell() says of each word."""
+def cut(docs: DataFrame, owners: int, tell: Callable[[Block, int], np.ndarray], id_col: str, text_col: str, mark: Column | None = None, split: Callable[[bytes], list] = bytes.split, block_bytes: int = M.BLOCK_BYTES) -> DataFrame:
+    """BASE rows to blocks and WORDS rows to owners: the distinct words that split() makes of texts, their numbers, and what tell() says of each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, held, size = TaskContext.get().partitionId() << 24, [], 0
 
         def block(number: int) -> Iterator[pa.RecordBatch]:
-            b, words = tokenised(held, lower)
+            b, words = tokenised(held, split)
             held.clear()
             said = tell(b, len(words))
             owner = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words)) % np.uint64(owners)
             rows = [(number, BASE, number, 0, 0, b.parts())]
             for o, x in M.by_owner(owner.astype(np.int64)):
                 x = np.sort(x)
-                rows.append((o, WORDS, number, 0, 0, [M.zstd.compress(b" ".join([words[i] for i in x.tolist()]), 1), M.pack_sorted(x.astype(np.uint32)), M.pack(said[x])]))
+                rows.append((o, WORDS, number, 0, 0, [M.pack_sorted(x.astype(np.uint32)), M.pack(said[x]), *write_words([words[i] for i in x.tolist()])]))
             for r in rows:
                 yield from M.table([r]).to_batches()
             trim()
@@ -113,7 +127,7 @@ def spell(rows: list[M.Row], n: int) -> list[bytes]:
     """A block's words by number, from the WORDS rows it sent."""
     out: list[bytes] = [b""] * n
     for r in rows:
-        for i, w in zip(M.unpack_sorted(r[5][1], np.uint32).tolist(), M.zstd.decompress(r[5][0]).split(b" ")):
+        for i, w in zip(M.unpack_sorted(r[5][0], np.uint32).tolist(), read_words(r[5])):
             out[i] = w
     return out
 
