@@ -26,7 +26,7 @@ START, END = U64(1), U64(2)
 FIRST_NAME = 3
 #: log10 steps of a quantised probability; MISSING marks what training never saw.
 STEP, MISSING = 4096, 0xFFFF
-OWNER_BYTES = 16 << 20
+OWNER_BYTES = 8 << 20
 
 
 def count_words(owner: int, asked: list[M.Parts], owners: int) -> list[tuple[int, int, M.Parts]]:

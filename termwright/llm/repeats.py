@@ -1,4 +1,4 @@
-"""What the two repeated-passage operators share: a conversation of blocks of documents with the owners of keys.
+"""A conversation of blocks of documents with the owners of keys, for repeated byte strings.
 
 Documents are dealt to blocks. A block cuts its texts into keyed items, in an order that the texts alone
 decide, and asks the owner of every distinct key about it. Owners answer by block, in the order asked, so
@@ -20,6 +20,8 @@ NO_ID = (1 << 63) - 1
 #: Text of a block.
 BLOCK_BYTES = 2 << 20
 U64 = np.uint64
+#: A key is hot if this share of all blocks, and at least so many, have it: its windows then have owners of their own.
+HOT_SHARE, HOT_BLOCKS = 0.1, 64
 #: Owners know a key by its top 40 bits; two keys that agree in them only cost a needless question later.
 SHORT = U64(24)
 
@@ -58,6 +60,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None =
     """doc_id (null ranks last, as the largest id), h (hash of the text), text, and a struct of the columns to carry."""
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"),
+        F.col(id_col).cast("long").isNull().alias("no_id"),
         F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
         *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry")] if carry else []),
@@ -107,9 +110,10 @@ class Block:
         ids, hs = (table.column(c).to_numpy() for c in ("doc_id", "h"))
         order = np.lexsort((hs, ids))
         self.number, self.ids, self.hs = table.column("block")[0].as_py(), ids[order], hs[order]
+        self.null = table.column("no_id").to_numpy(zero_copy_only=False)[order].astype(bool)
         texts = table.column("text").to_pylist()
         self.texts: list[bytes] = [texts[i] for i in order.tolist()]
-        self.rest = table.take(pa.array(order)).drop_columns(["block", "doc_id", "h", "text"])
+        self.rest = table.take(pa.array(order)).drop_columns(["block", "doc_id", "no_id", "h", "text"])
 
 
 Parts = list[bytes]
@@ -123,8 +127,8 @@ def replies(table: pa.Table | None) -> Told:
     return {(r["kind"], r["owner"]): r["parts"] for r in table.to_pylist()} if table is not None else {}
 
 
-def converse(docs: DataFrame, told: DataFrame | None, kind: int, ask: Callable[[Block, Told], Iterator[tuple[int, Parts]]], own: Callable[[list[Parts]], list[Parts]]) -> DataFrame:
-    """One question of every block of dealt() to each owner, and the answers, again by block. own() sees all the questions to one owner and answers each."""
+def converse(docs: DataFrame, told: DataFrame | None, ask: Callable[[Block, Told], Iterator[tuple[int, Parts]]], own: Callable[[list[int], list[Parts]], list[tuple[int, int, Parts]]]) -> DataFrame:
+    """One question of every block of dealt() to each owner, and the answers, again by block. own() sees all the questions to one owner, with the blocks that ask, and gives answers: block, kind, parts."""
     count = partitions(docs.sparkSession)
 
     def put(left: pa.Table, right: pa.Table | None) -> pa.Table:
@@ -146,8 +150,8 @@ def converse(docs: DataFrame, told: DataFrame | None, kind: int, ask: Callable[[
         while rows:
             owner, mine = rows.popitem()
             mine.sort(key=lambda r: r["block"])
-            for r, parts in zip(mine, own([r["parts"] for r in mine])):
-                yield pa.RecordBatch.from_pydict({"block": [r["block"]], "owner": [owner], "kind": [kind], "parts": [parts]}, schema=TOLD)
+            for block, kind, parts in own([r["block"] for r in mine], [r["parts"] for r in mine]):
+                yield pa.RecordBatch.from_pydict({"block": [block], "owner": [owner], "kind": [kind], "parts": [parts]}, schema=TOLD)
         trim()
 
     ddl = "owner int, block int, parts array<binary>"
@@ -203,13 +207,13 @@ class Keys:
         return self
 
 
-def own_keys(asked: list[Parts]) -> list[Parts]:
-    """Which keys another block has too, and which are hot: in over a tenth of at least 64 blocks."""
+def own_keys(blocks: list[int], asked: list[Parts], kind: int) -> list[tuple[int, int, Parts]]:
+    """Which keys another block has too, and which are hot."""
     names = [unsteps(parts[0]) for parts in asked]
     _, at, size = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
     size = size[at.reshape(-1)]
     ends = np.cumsum([len(n) for n in names])
-    return [[bits(s > 1), bits((s >= 64) & (s > len(asked) / 10))] for s in np.split(size, ends[:-1])]
+    return [(b, kind, [bits(s > 1), bits((s >= HOT_BLOCKS) & (s > len(asked) * HOT_SHARE))]) for b, s in zip(blocks, np.split(size, ends[:-1]))]
 
 
 def flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -223,7 +227,6 @@ def flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def union(starts: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
     """Which of n places the ranges cover."""
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + sizes, -1)
+    starts = np.asarray(starts, np.int64)
+    edge = np.bincount(starts, minlength=n + 1) - np.bincount(starts + sizes, minlength=n + 1)
     return np.cumsum(edge[:n]) > 0

@@ -2,11 +2,12 @@
 
 Every 50-byte window names an anchor: the leftmost gram with the least hash inside it, which the window's
 bytes alone decide. Windows whose anchor no other document has can't repeat and go no further. Of the others,
-two unlike 64-bit hashes of the bytes around the anchor go to its owner, which knows equal contexts by both
-hashes. Where an anchor has several contexts, one document of each sends its bytes, and their windows are
-sorted as suffixes: a merge sort whose comparisons find the common extension by binary search over prefix
-polynomial hashes. Neighbours that agree on 50 bytes are compared byte by byte before they count as equal,
-and the smallest doc_id of a window's class decides what is removed.
+a hash of the bytes around the anchor goes to its owner, which tells where these bytes are said to stand first.
+Every stretch that is said to stand elsewhere is verified there, byte by byte; should a hash ever have lied, the
+whole runs again with another salt. Where an anchor has several contexts, one document of each sends its bytes, and
+those windows whose hash comes up twice are sorted as suffixes: a merge sort whose comparisons find the common
+extension by binary search over prefix polynomial hashes. Neighbours that agree on 50 bytes are compared byte by
+byte before they count as equal, and the smallest doc_id of a window's class decides what is removed.
 """
 
 from __future__ import annotations
@@ -21,13 +22,16 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from termwright.llm import repeats as R
 from termwright.llm.repeats import NO_ID, U64, Powers, mix
-from termwright.llm.runtime import partitions
+from termwright.llm.runtime import materialize, partitions
 
 GRAM = 20
 #: Windows sorted at once.
 SORTED = 1 << 18
 #: Bytes whose grams are hashed at once; a longer text is hashed in parts that overlap by a window.
-PART = 1 << 20
+PART = 1 << 17
+#: Bits of a context's hash at first; tests make it small.
+HASH_BITS = 64
+SHARED, JUDGED, RANGES, CLAIMS = range(4)
 
 
 def anchors(texts: list[bytes], window: int, gram: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,8 +48,9 @@ def anchors(texts: list[bytes], window: int, gram: int, powers: Powers) -> tuple
         part = np.repeat(np.arange(len(held)), n)
         ends = np.cumsum(n)
         grams = len(buf) - gram + 1
-        g = mix(powers.at(powers.prefix(buf), np.arange(grams), gram))
-        low = (mix(g ^ U64(0x51ED27)) & ~U64((1 << 22) - 1)) | np.arange(grams, dtype=U64)
+        p = powers.prefix(buf)
+        g = mix((p[gram:] - p[:-gram]) * powers.down[:grams])
+        low = (g * U64(0x9E3779B97F4A7C15) & ~U64((1 << 22) - 1)) | np.arange(grams, dtype=U64)
         wide = window - gram + 1
         span = 1
         while 2 * span <= wide:
@@ -151,6 +156,21 @@ def classes(buf: np.ndarray, starts: np.ndarray, group: np.ndarray, window: int,
     return out
 
 
+def twins(buf: np.ndarray, starts: np.ndarray, group: np.ndarray, window: int, powers: Powers) -> np.ndarray:
+    """As classes(): windows whose hash is alone in their group are alone; only the others need the sort."""
+    h = mix(powers.at(powers.prefix(buf), starts, window) + mix(group.astype(U64)))
+    order = np.argsort(h)
+    s = h[order]
+    apart = np.concatenate([[True], s[1:] != s[:-1], [True]])
+    maybe = np.zeros(len(h), bool)
+    maybe[order] = ~(apart[:-1] & apart[1:])
+    out = np.arange(len(h)) + len(h)
+    at = np.flatnonzero(maybe)
+    if len(at):
+        out[at] = classes(buf, starts[at], group[at], window, powers)
+    return np.unique(out, return_inverse=True)[1].reshape(-1)
+
+
 def contexts_classes(buf: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray, powers: Powers) -> np.ndarray:
     """Class number of equal (key, bytes), verified."""
     prefix = powers.prefix(buf)
@@ -158,7 +178,9 @@ def contexts_classes(buf: np.ndarray, start: np.ndarray, size: np.ndarray, key:
     _, first, cls = np.unique(h, return_index=True, return_inverse=True)
     cls = cls.reshape(-1)
     lead = first[cls]
-    if ((size != size[lead]) | (key != key[lead])).any() or (buf[R.flat(start, size)] != buf[R.flat(start[lead], size)]).any():
+    x = np.flatnonzero(lead != np.arange(len(lead)))
+    y = lead[x]
+    if ((size[x] != size[y]) | (key[x] != key[y])).any() or (buf[R.flat(start[x], size[x])] != buf[R.flat(start[y], size[y])]).any():
         raw = buf.tobytes()
         names: dict = {}
         return np.array([names.setdefault((k, raw[s : s + n]), len(names)) for k, s, n in zip(key.tolist(), start.tolist(), size.tolist())])
@@ -199,16 +221,36 @@ class Contexts:
         number[line] = np.arange(len(line))
         self.cls = number[self.cls]
         self.names, self.least = key[self.lead], self.ids[self.lead]
-        self.whole, self.speaks = np.zeros(len(line), bool), np.zeros(len(line), bool)
         return self
 
+    def hashes(self, salt: int, hash_bits: int) -> np.ndarray:
+        start, size = self.start[self.lead], self.size[self.lead]
+        h = mix(mix(self.powers.at(self.powers.prefix(self.buf), start, size) + size.astype(U64)) + U64(salt))
+        return h >> U64(64 - hash_bits)
+
     def judged(self, told: R.Told, count: int) -> Contexts:
-        """With what the owners made of the contexts' hashes."""
+        """With what the owners made of the contexts' hashes: who is in a smaller document whole, who speaks, and where each is said to stand first."""
+        n = len(self.names)
+        self.whole, self.speaks, self.to, self.place = np.zeros(n, bool), np.zeros(n, bool), np.full(n, -1), np.zeros(n, np.int64)
         for owner, x in R.by_owner(self.names, count):
-            whole, speaks = told[1, owner]
+            whole, speaks, elsewhere, to, place = told[JUDGED, owner]
             self.whole[x], self.speaks[x] = R.unbits(whole, len(x)), R.unbits(speaks, len(x))
+            at = x[R.unbits(elsewhere, len(x))]
+            self.to[at], self.place[at] = R.unplanes(to, np.int32), R.unplanes(place, np.uint32)
         return self
 
+    def claims(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Stretches said to stand in another block: that block, the place there, the place here, and the bytes."""
+        x = np.flatnonzero(self.to >= 0)
+        x = x[np.argsort(self.start[self.lead[x]], kind="stable")]
+        here, size, to, there = self.start[self.lead[x]], self.size[self.lead[x]], self.to[x], self.place[x]
+        ends = here + size
+        # contexts that follow on each other, here as there, are one stretch
+        new = np.concatenate([[True], (here[1:] > ends[:-1]) | (to[1:] != to[:-1]) | (np.diff(there) != np.diff(here))]) if len(x) else np.zeros(0, bool)
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(x)) - 1
+        return to[head], there[head], here[head], (ends[tail] - here[head] if len(x) else ends)
+
     def speakers(self, count: int) -> Iterator[tuple[int, np.ndarray]]:
         """Each owner and the contexts whose bytes it must see."""
         at = np.flatnonzero(self.speaks)
@@ -216,41 +258,65 @@ class Contexts:
             yield owner, at[x]
 
 
-def second_hash(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of byte ranges that is unlike the polynomial one: eight bytes at a time, each step scrambled."""
-    h = mix(size.astype(U64) + U64(0x5851F42D4C957F2D))
-    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
-    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    for at in range(0, int(size.max(initial=0)), 8):
-        x = np.flatnonzero(size > at)
-        word = np.ascontiguousarray(eight[start[x] + at]).view(U64).reshape(-1)
-        short = np.minimum(size[x] - at, 8).astype(U64)
-        h[x] = mix(h[x] * U64(0x9E3779B97F4A7C15) ^ (word & (~U64(0) >> (U64(8) * (U64(8) - short)))))
-    return h
-
-
-def own_hashes(asked: list[R.Parts]) -> list[R.Parts]:
-    """Which contexts a smaller document of another block has whole, and which ones speak for their class where an anchor has several."""
+def own_hashes(blocks: list[int], asked: list[R.Parts]) -> list[tuple[int, int, R.Parts]]:
+    """Which contexts a smaller document of another block has whole, which speak for their class where an anchor has several, and for those that do not stand first: the block and place of the first."""
+    sizes = [len(p[3]) // 4 for p in asked]
     keys = np.concatenate([R.unsteps(p[0]) for p in asked])
-    one, two = (np.concatenate([np.frombuffer(p[i], U64) for p in asked]) for i in (1, 2))
-    least = np.concatenate([R.unplanes(p[3], np.int64) for p in asked])
-    order = np.lexsort((two, one, keys))
+    h = np.concatenate([np.frombuffer(p[1], U64) for p in asked])
+    least, place = np.concatenate([R.unplanes(p[2], np.int64) for p in asked]), np.concatenate([R.unplanes(p[3], np.uint32) for p in asked])
+    block = np.repeat(np.array(blocks, np.int32), sizes)
+    order = np.lexsort((least, h, keys))  # blocks ask in order, and a block asks once about a context
     k = keys[order]
-    new_key = np.concatenate([[True], k[1:] != k[:-1]])
-    new = new_key | np.concatenate([[True], (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])])
+    new_key = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
+    new = new_key.copy()
+    new[1:] |= h[order[1:]] != h[order[:-1]]
     heads = np.flatnonzero(new)
-    low = np.repeat(np.minimum.reduceat(least[order], heads), np.diff(np.append(heads, len(k))))
+    lead = np.empty(len(k), np.int64)
+    lead[order] = np.repeat(order[heads], np.diff(np.append(heads, len(k))))
     anchor = np.cumsum(new_key) - 1
-    several = np.bincount(anchor, new)[anchor] > 1
-    whole, speaks = np.zeros(len(k), bool), np.zeros(len(k), bool)
-    whole[order] = least[order] > low
-    speaks[order] = several & (least[order] == low)
-    ends = np.cumsum([len(p[1]) // 8 for p in asked])[:-1]
-    return [[R.bits(w), R.bits(s)] for w, s in zip(np.split(whole, ends), np.split(speaks, ends))]
+    several = np.zeros(len(k), bool)
+    several[order] = np.bincount(anchor, new)[anchor] > 1 if len(k) else False
+    whole, elsewhere = least[lead] < least, lead != np.arange(len(k))
+    speaks = several & ~whole
+    out, at = [], 0
+    for b, n in zip(blocks, sizes):
+        mine = slice(at, at + n)
+        to = lead[mine][elsewhere[mine]]
+        out.append((b, JUDGED, [R.bits(whole[mine]), R.bits(speaks[mine]), R.bits(elsewhere[mine]), R.planes(block[to]), R.planes(place[to])]))
+        at += n
+    return out
+
+
+def own_claims(asked: list[R.Parts]) -> list[tuple[int, int, R.Parts]]:
+    """Claims on, each different one once, to the blocks they are about."""
+    seen: dict[int, dict[tuple[int, bytes], None]] = {}
+    for p in asked:
+        if not p[4]:
+            continue
+        to, place, size = R.unplanes(p[4], np.int32).tolist(), R.unplanes(p[5], np.uint32).tolist(), R.unplanes(p[6], np.uint32).tolist()
+        raw, at = zstd.ZstdDecompressor().decompress(p[7]), 0
+        for t, i, n in zip(to, place, size):
+            seen.setdefault(t, {})[i, raw[at : at + n]] = None
+            at += n
+    out = []
+    for t, claims in seen.items():
+        place, size = np.array([i for i, _ in claims], np.uint32), np.array([len(x) for _, x in claims], np.uint32)
+        out.append((t, CLAIMS, [R.planes(place), R.planes(size), zstd.ZstdCompressor(level=1).compress(b"".join(x for _, x in claims))]))
+    return out
 
 
-def own_contexts(asked: list[R.Parts], window: int) -> list[R.Parts]:
-    """Which contexts a smaller document of another block has whole, and the ranges of others whose windows a smaller document has."""
+def borne_out(buf: np.ndarray, claims: list[R.Parts]) -> bool:
+    """Whether all the claims' bytes stand where they are said to."""
+    for p in claims:
+        place, size = R.unplanes(p[0], np.uint32).astype(np.int64), R.unplanes(p[1], np.uint32).astype(np.int64)
+        raw = np.frombuffer(zstd.ZstdDecompressor().decompress(p[2]), np.uint8)
+        if (place + size > len(buf)).any() or not np.array_equal(buf[R.flat(place, size)], raw):
+            return False
+    return True
+
+
+def own_contexts(blocks: list[int], asked: list[R.Parts], window: int) -> list[tuple[int, int, R.Parts]]:
+    """Claims on to their blocks; which contexts a smaller document of another block has whole, and the ranges of others whose windows a smaller document has."""
     powers, expand = Powers(), zstd.ZstdDecompressor().decompress
     body = np.frombuffer(b"".join(expand(p[0]) for p in asked), np.uint8)
     sizes, keys, least = (np.concatenate([f(p[i]) for p in asked]) for i, f in ((1, lambda x: R.unplanes(x, np.uint32).astype(np.int64)), (2, R.unsteps), (3, lambda x: R.unplanes(x, np.int64))))
@@ -287,7 +353,7 @@ def own_contexts(asked: list[R.Parts], window: int) -> list[R.Parts]:
             at = R.flat(start[one], w)
             group = np.repeat(key_of, w)
             line = np.argsort(group, kind="stable")
-            same = classes(buf, at[line], group[line], window, powers)
+            same = twins(buf, at[line], group[line], window, powers)
             mine = low[cls[owner]]
             best = np.full(same.max() + 1, NO_ID, np.int64)
             np.minimum.at(best, same, mine[line])
@@ -306,15 +372,15 @@ def own_contexts(asked: list[R.Parts], window: int) -> list[R.Parts]:
     ctx, off, ln = (np.concatenate(x) for x in zip(*got))
     line = np.argsort(ctx, kind="stable")
     ctx, off, ln = ctx[line], off[line], ln[line]
-    out, lo = [], 0
-    for hi in ends.tolist():
+    out, lo = own_claims(asked), 0
+    for block, hi in zip(blocks, ends.tolist()):
         a, b = np.searchsorted(ctx, [lo, hi])
-        out.append([R.bits(whole[lo:hi]), *(R.planes(x.astype(np.uint32)) for x in (ctx[a:b] - lo, off[a:b], ln[a:b]))])
+        out.append((block, RANGES, [R.bits(whole[lo:hi]), *(R.planes(x.astype(np.uint32)) for x in (ctx[a:b] - lo, off[a:b], ln[a:b]))]))
         lo = hi
     return out
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, carry: list[str] | None = None, as_text: bool = False, hash_bits: int | None = None) -> DataFrame:
     """One row per input row: doc_id, h (hash of the text), n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes).
 
     Columns named in carry come along in a struct `carry`. With as_text, kept is a string without the rests of
@@ -322,35 +388,56 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
 
     A byte goes if a `window`-byte string that covers it also starts in a document with a smaller doc_id.
     A null text counts as empty. Texts shorter than a window lose nothing. Rows that repeat a doc_id are one
-    document and take nothing from each other; null ids rank after all others and take nothing from each
-    other. Removal may cut a multi-byte character; kept is binary. An empty table gives an empty result;
+    document and take nothing from each other; a null id ranks with the largest id there is, and rows without id
+    take nothing from each other. Removal may cut a multi-byte character; kept is binary. An empty table gives an empty result;
     other columns are ignored.
     """
     count = partitions(docs.sparkSession)
     base = R.dealt(R.keyed(docs, id_col, text_col, carry))
+    schema = T.StructType.fromDDL("doc_id long, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept " + ("string" if as_text else "binary"))
+    schema = T.StructType([*schema, *base.select(*(["carry"] if carry else [])).schema])
+    salt, bits_ = 0, HASH_BITS if hash_bits is None else hash_bits
+    while True:
+        out = materialize(_removed(base, window, gram, count, schema, as_text, salt, bits_), "passages")
+        if out.where("not borne_out").isEmpty():
+            return out.drop("borne_out")
+        salt, bits_ = salt + 1, 64
+
+
+def _removed(base: DataFrame, window: int, gram: int, count: int, schema: T.StructType, as_text: bool, salt: int, hash_bits: int) -> DataFrame:
+    """The result and borne_out: false in a block where a stretch does not stand that another block was told of."""
+
+    def heard(block: R.Block, told: R.Told) -> Contexts:
+        return Contexts(block, window, gram).hear(told, count)
 
     def ask_anchors(block: R.Block, told: R.Told) -> Iterator[tuple[int, R.Parts]]:
         return Contexts(block, window, gram).anchors.ask(count)
 
     def ask_hashes(block: R.Block, told: R.Told) -> Iterator[tuple[int, R.Parts]]:
-        c = Contexts(block, window, gram).hear(told, count)
-        start, size = c.start[c.lead], c.size[c.lead]
-        one, two = mix(c.powers.at(c.powers.prefix(c.buf), start, size)), second_hash(c.buf, start, size)
+        c = heard(block, told)
+        h = c.hashes(salt, hash_bits)
         for owner, x in R.by_owner(c.names, count):
-            yield owner, [R.steps(c.names[x] >> R.SHORT), one[x].tobytes(), two[x].tobytes(), R.planes(c.least[x])]
+            yield owner, [R.steps(c.names[x] >> R.SHORT), h[x].tobytes(), R.planes(c.least[x]), R.planes(c.start[c.lead[x]].astype(np.uint32))]
 
     def ask_contexts(block: R.Block, told: R.Told) -> Iterator[tuple[int, R.Parts]]:
-        c, squeeze = Contexts(block, window, gram).hear(told, count).judged(told, count), zstd.ZstdCompressor(level=1).compress
+        c, squeeze = heard(block, told).judged(told, count), zstd.ZstdCompressor(level=1).compress
+        out: dict[int, R.Parts] = {}
         for owner, x in c.speakers(count):
             start, size = c.start[c.lead[x]], c.size[c.lead[x]]
-            yield owner, [squeeze(c.buf[R.flat(start, size)].tobytes()), R.planes(size.astype(np.uint32)), R.steps(c.names[x] >> R.SHORT), R.planes(c.least[x])]
+            out[owner] = [squeeze(c.buf[R.flat(start, size)].tobytes()), R.planes(size.astype(np.uint32)), R.steps(c.names[x] >> R.SHORT), R.planes(c.least[x]), b"", b"", b"", b""]
+        to, there, here, size = c.claims()
+        for owner in np.unique(to % count).tolist():
+            x = np.flatnonzero(to % count == owner)
+            parts = out.setdefault(owner, [squeeze(b""), b"", b"", b"", b"", b"", b"", b""])
+            parts[4:] = [R.planes(to[x].astype(np.int32)), R.planes(there[x].astype(np.uint32)), R.planes(size[x].astype(np.uint32)), squeeze(c.buf[R.flat(here[x], size[x])].tobytes())]
+        yield from out.items()
 
     def cut(block: R.Block, told: R.Told) -> pa.Table:
-        c = Contexts(block, window, gram).hear(told, count).judged(told, count)
+        c = heard(block, told).judged(told, count)
         whole = c.whole
         ranges: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
         for owner, x in c.speakers(count):
-            parts = told[2, owner]
+            parts = told[RANGES, owner]
             whole[x] |= R.unbits(parts[0], len(x))
             of, off, ln = (R.unplanes(p, np.uint32).astype(np.int64) for p in parts[1:])
             ranges.append((x[of], off, ln))
@@ -362,19 +449,19 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
         a, b = np.searchsorted(c.cls[rest], of), np.searchsorted(c.cls[rest], of, side="right")
         start = np.concatenate([c.start[over], c.start[rest[R.flat(a, b - a)]] + np.repeat(off, b - a)])
         gone = R.union(start, np.concatenate([c.size[over], np.repeat(ln, b - a)]), len(c.buf))
+        true = borne_out(c.buf, [p for (kind, _), p in told.items() if kind == CLAIMS])
         rows, at = [], 0
-        for d, h, t in zip(block.ids.tolist(), block.hs.tolist(), block.texts):
+        for d, null, h, t in zip(block.ids.tolist(), block.null.tolist(), block.hs.tolist(), block.texts):
             g = gone[at : at + len(t)]
             kept = c.buf[at : at + len(t)][~g].tobytes() if g.any() else t
             n_spans = int(np.count_nonzero(np.diff(g.astype(np.int8), prepend=0) == 1))
-            rows.append((None if d == NO_ID else d, h, len(t), int(g.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if as_text else kept))
+            rows.append((None if null else d, h, len(t), int(g.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if as_text else kept))
             at += len(t)
         kinds = [pa.int64()] * 5 + [pa.string(), pa.string() if as_text else pa.binary()]
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)] + block.rest.columns, names=[f.name for f in schema])
+        cols = [pa.array(x, k) for x, k in zip(zip(*rows), kinds)] + block.rest.columns + [pa.array([true] * len(rows), pa.bool_())]
+        return pa.Table.from_arrays(cols, names=[*(f.name for f in schema), "borne_out"])
 
-    schema = T.StructType.fromDDL("doc_id long, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept " + ("string" if as_text else "binary"))
-    schema = T.StructType([*schema, *base.select(*(["carry"] if carry else [])).schema])
-    shared = R.converse(base, None, 0, ask_anchors, R.own_keys)
-    judged = shared.unionByName(R.converse(base, shared, 1, ask_hashes, own_hashes))
-    repeated = R.converse(base, judged, 2, ask_contexts, lambda asked: own_contexts(asked, window))
-    return R.finish(base, judged.unionByName(repeated), cut, schema)
+    shared = R.converse(base, None, ask_anchors, lambda blocks, asked: R.own_keys(blocks, asked, SHARED))
+    judged = shared.unionByName(R.converse(base, shared, ask_hashes, own_hashes))
+    repeated = R.converse(base, judged, ask_contexts, lambda blocks, asked: own_contexts(blocks, asked, window))
+    return R.finish(base, judged.unionByName(repeated), cut, T.StructType([*schema, T.StructField("borne_out", T.BooleanType())]))
