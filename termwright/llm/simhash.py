@@ -1,11 +1,12 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
 A fingerprint is eight positional bytes. Two fingerprints at most two bits apart differ in at most two
-bytes, so they share at least six of the eight (position, byte) tokens: that is the guaranteed minimum.
-The index posts each distinct fingerprint under every six-position token set (28 of them, 48 bits each), so
-a posting list holds exactly the fingerprints that reach the minimum together; two free bytes bound a list
-by 65,536 entries whatever the corpus. Inside a list the shared bytes of each pair are tallied, pairs that
-reach six are verified by their differing bits, and a spanning forest of the verified pairs goes on.
+bytes, so they share at least six of the eight (position, byte) tokens: that is the guaranteed minimum. Each distinct
+fingerprint is posted under five triples of positional bytes, chosen so that any six positions hold one of them.
+In a list, the shared positional bytes of every pair are tallied, pairs that reach six are verified by their
+differing bits, and a spanning forest of the verified pairs goes on. A list too long for that is split by the
+tokens at three further positions, of which a pair that reaches six shares at least one, and so on until six
+positions are shared, where two free bytes bound a list by 65,536 entries whatever the corpus.
 Classes are the connected components, found by alternating large-star and small-star joins.
 """
 
@@ -17,7 +18,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from termwright.llm.runtime import id_text, materialize, partitions
 
@@ -25,6 +26,10 @@ SEED = 42
 #: Shingles whose bits are counted at once, which bounds memory on very long texts.
 BLOCK = 1 << 15
 FREE = list(combinations(range(8), 2))
+#: Triples of positions: whichever two positions differ, one of the triples has neither.
+TRIPLES = ((0, 1, 2), (3, 4, 5), (6, 7, 0), (6, 7, 3), (6, 7, 1))
+#: Entries of a posting list that are tallied pair by pair; longer lists are split.
+LIST = 64
 #: Exclusive-or masks and odd factors of 24 min-wise samples.
 MINWISE = np.random.default_rng(SEED).integers(0, 1 << 64, (24, 2), np.uint64) | np.array([0, 1], np.uint64)
 #: Posting lists of near_prints up to this length are compared pair by pair.
@@ -77,8 +82,8 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return id_text(docs, id_col, text_col).withColumn("row_key", row_key()).mapInArrow(run, "doc_id long, fp long, row_key long")
 
 
-def list_links(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Positions of a spanning forest of the pairs at most max_bits apart in one posting list."""
+def list_links(fps: np.ndarray, max_bits: int, tallied: int) -> list[tuple[int, int]]:
+    """Positions of a spanning forest of the pairs at most max_bits apart in one posting list, which is sorted."""
     m, links = len(fps), []
     boss = list(range(m))
 
@@ -88,59 +93,79 @@ def list_links(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
             x = boss[x]
         return x
 
-    def tally(i: int, js: np.ndarray) -> None:
-        diff = fps[js] ^ fps[i]
-        shared = (diff.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-        for j in js[(shared >= 6) & (np.bitwise_count(diff) <= max_bits)].tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                boss[a] = b
-                links.append((i, j))
+    def tie(i: int, j: int) -> None:
+        a, b = root(i), root(j)
+        if a != b:
+            boss[a] = b
+            links.append((i, j))
 
-    if m <= 512:
+    if m <= tallied:
         for i in range(m - 1):
-            tally(i, np.arange(i + 1, m))
+            diff = fps[i + 1 :] ^ fps[i]
+            shared = (diff.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+            for j in np.flatnonzero((shared >= 6) & (np.bitwise_count(diff) <= max_bits)).tolist():
+                tie(i, i + 1 + j)
         return links
-    # a long list: look each entry's possible neighbours up instead of comparing all pairs
-    spread = fps[0] ^ fps
-    free = [np.uint64(1) << np.uint64(b) for b in range(64) if (np.bitwise_or.reduce(spread) >> np.uint64(b)) & np.uint64(1)]
-    flips = [a for a in free] + ([a | b for a, b in combinations(free, 2)] if max_bits > 1 else [])
-    for flip in flips:  # at most 16 + 120 of them
+    # six positions are shared here: each entry's neighbours differ in bits of the other two
+    spread = np.bitwise_or.reduce(fps[0] ^ fps)
+    free = [np.uint64(1) << np.uint64(b) for b in range(64) if (spread >> np.uint64(b)) & np.uint64(1)]
+    for flip in [np.bitwise_or.reduce(np.array(x)) for k in range(1, max_bits + 1) for x in combinations(free, k)]:  # at most 16 + 120
         at = np.searchsorted(fps, want := fps ^ flip)
         hit = np.flatnonzero((at < m) & (fps[np.minimum(at, m - 1)] == want))
         for i, j in zip(hit.tolist(), at[hit].tolist()):
-            a, b = root(i), root(j)
-            if a != b:
-                boss[a] = b
-                links.append((i, j))
+            tie(i, j)
     return links
 
 
-def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
-    """Verified links (a, b) between distinct fingerprints; fps has fp."""
+def byte_mask(positions: int) -> int:
+    """The bytes at the positions whose bits are set, as a signed long."""
+    mask = sum(0xFF << 8 * i for i in range(8) if positions >> i & 1)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def posting(positions: int) -> Column:
+    return F.struct(F.lit(positions).alias("positions"), F.col("fp").bitwiseAND(F.lit(byte_mask(positions))).alias("key"))
+
+
+def narrower(positions: int) -> list[int]:
+    """With one further shared position, of three: a pair that misses at most two shares one of them."""
+    return [positions | 1 << i for i in [i for i in range(8) if not positions >> i & 1][:3]]
+
+
+def links(fps: DataFrame, max_bits: int = 2, tallied: int = LIST) -> DataFrame:
+    """Verified links (a, b) between distinct fingerprints; fps has fp. `tallied` changes the way, not the result."""
     if not 0 <= max_bits <= 2:
-        raise ValueError("the six-of-eight filter guarantees links of at most two bits")
-    keep = [int(np.uint64(~((0xFF << 8 * i) | (0xFF << 8 * j)) & (1 << 64) - 1).astype(np.int64)) for i, j in FREE]
-    lists = F.array(*[F.struct(F.lit(k).cast("byte").alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(keep)])
-    posted = fps.select(F.explode(lists).alias("x"), "fp").select("x.k", "x.key", "fp")
-    dealt = posted.repartition(partitions(fps.sparkSession), "k", "key").sortWithinPartitions("k", "key", "fp")
+        raise ValueError("the count filter guarantees links of at most two bits")
+    masks = [sum(1 << i for i in t) for t in TRIPLES]
+    posted = fps.select(F.explode(F.array(*map(posting, masks))).alias("x"), "fp").select("x.*", "fp")
+    lists = None
+    for shared in range(3, 7):
+        sized = posted.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("positions", "key")))
+        if shared < 6:
+            sized = materialize(sized.where("size > 1"), "postings")
+        short = sized.where(F.col("size").between(2, tallied) if shared < 6 else F.col("size") > 1).select("positions", "key", "fp")
+        lists = short if lists is None else lists.unionByName(short)
+        if shared == 6 or (long := sized.where(F.col("size") > tallied)).isEmpty():
+            break
+        children = F.lit(None)
+        for m in masks:
+            children = F.when(F.col("positions") == m, F.array(*map(posting, narrower(m)))).otherwise(children)
+        posted = long.select(F.explode(children).alias("x"), "fp").select("x.*", "fp").distinct()
+        masks = sorted({n for m in masks for n in narrower(m)})
+    dealt = lists.repartition(partitions(fps.sparkSession), "positions", "key").sortWithinPartitions("positions", "key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def found(cols: list[np.ndarray]) -> pa.RecordBatch:
             k, key, fp = cols
-            cut = np.flatnonzero((k[1:] != k[:-1]) | (key[1:] != key[:-1])) + 1
-            edge = np.concatenate([[0], cut, [len(k)]])
-            size = np.diff(edge)
-            a, b = [], []
-            two = edge[:-1][size == 2]
-            near = two[np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= max_bits]
-            a.append(fp[near]), b.append(fp[near + 1])
-            for s, n in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist()):
-                order = s + np.argsort(fp[s : s + n].view(np.uint64))
-                for i, j in list_links(fp[order].view(np.uint64), max_bits):
-                    a.append(fp[order[i : i + 1]]), b.append(fp[order[j : j + 1]])
+            edge = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]) | (key[1:] != key[:-1])) + 1, [len(k)]])
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for s, n in zip(edge[:-1].tolist(), np.diff(edge).tolist()):
+                one = np.sort(fp[s : s + n].view(np.uint64))
+                if pairs := list_links(one, max_bits, tallied):
+                    i, j = np.array(pairs).T
+                    a.append(one[i].view(np.int64)), b.append(one[j].view(np.int64))
             x, y = np.concatenate(a), np.concatenate(b)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
@@ -156,7 +181,7 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
         if held and len(held[0]):
             yield found(held)
 
-    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
