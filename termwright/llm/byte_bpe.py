@@ -20,10 +20,8 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from termwright.llm import messages as M, tokens as T
-from termwright.llm.runtime import materialize
 
 IDS = 2
-BLOCK_BYTES = 16 << 20
 #: Distinct pieces replayed together.
 REPLAYED = 1 << 18
 #: White space that is more than one blank between two words.
@@ -184,7 +182,7 @@ def chunks(text: bytes) -> list[str]:
     return out
 
 
-def encode_chunks(asked: list[M.Parts], path: str, pattern: str) -> list[tuple[int, int, M.Parts]]:
+def encode_chunks(checks: list[int], asked: list[M.Parts], path: str, pattern: str) -> list[tuple[int, int, M.Parts]]:
     """The ids of every chunk: the distinct pieces of all that were asked for are replayed together."""
     split, (replay, _) = regex.compile(pattern), vocabulary(path)
     index, of = T.Numbered(), []
@@ -199,24 +197,27 @@ def encode_chunks(asked: list[M.Parts], path: str, pattern: str) -> list[tuple[i
     whole = [ids[x[0]] if len(x) == 1 else [i for p in x for i in ids[p]] for x in parts]
     size = np.fromiter(map(len, whole), np.int64, len(whole))
     flat, start = np.fromiter((i for x in whole for i in x), np.uint32, int(size.sum())), np.cumsum(size) - size
-    return [(0, 0, [p[0], M.pack(size[x].astype(np.uint32)), M.pack(flat[M.flat(start[x], size[x])])]) for p, x in zip(asked, of)]
+    return [(c, 0, [p[0], M.pack(size[x].astype(np.uint32)), M.pack(flat[M.flat(start[x], size[x])])]) for c, p, x in zip(checks, asked, of)]
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, block_bytes: int = M.BLOCK_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, and with_ids the ids themselves.
 
     A null text counts as empty and has no tokens. Texts are encoded whole; decoding gives their exact UTF-8
     bytes back. Repeated rows repeat; an empty table gives an empty result; other columns are ignored. The
-    vocabulary file must be readable on every executor.
+    vocabulary file must be readable on every executor. Texts are cut into blocks twice, rather than written down:
+    docs must give its rows in the same order again, as files do. A block that is not the one that asked fails.
     """
     owners = M.owners_for(T.text_bytes(docs, text_col), docs.sparkSession)
-    cut = materialize(T.cut(docs, owners, lambda b, n: np.zeros(n, np.uint8), id_col, text_col, split=chunks, block_bytes=block_bytes), "chunks")
-    ids = M.settle(cut.where(F.col("kind") == T.WORDS), owners, IDS, lambda o, _, asked: encode_chunks(asked, path, pattern))
+    cut = T.cut(docs, owners, lambda b, n: np.zeros(n, np.uint8), id_col, text_col, split=chunks, block_bytes=block_bytes)
+    ids = M.settle(cut.where(F.col("kind") == T.WORDS), owners, IDS, lambda o, _, asked: encode_chunks([int.from_bytes(p[4], "little") for p in asked], asked, path, pattern))
 
     def end(block: int, mail: M.Mail) -> pa.Table:
         b, (_, bytes_of) = T.Block(mail.one(T.BASE)), vocabulary(path)
         shown, decoded, known = [""] * b.distinct, [b""] * b.distinct, [[]] * b.distinct
         size = np.zeros(b.distinct, np.int64)
+        if any(r[3] != b.check() for r in mail[IDS]):
+            raise ValueError(f"block {block} is not the one that asked: docs came in another order")
         for r in mail[IDS]:
             x, n, flat = M.unpack_sorted(r[5][0], np.uint32), M.unpack(r[5][1], np.uint32), M.unpack(r[5][2], np.uint32).tolist()
             size[x] = n

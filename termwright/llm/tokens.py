@@ -6,6 +6,7 @@ travel as bytes to their owners, so what owners say about a word holds for that
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -50,6 +51,10 @@ class Block:
         """The document of each token."""
         return np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
 
+    def check(self) -> int:
+        """What tells this block from others under its number."""
+        return zlib.crc32(self.tokens.tobytes(), zlib.crc32(self.ids.tobytes()))
+
     def parts(self) -> list[bytes]:
         return [M.pack(self.ids), M.bits(self.null), M.bits(self.mark), M.pack(self.sizes.astype(np.uint32)), M.pack(self.tokens)]
 
@@ -101,10 +106,10 @@ def cut(docs: DataFrame, owners: int, tell: Callable[[Block, int], np.ndarray],
             held.clear()
             said = tell(b, len(words))
             owner = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words)) % np.uint64(owners)
-            rows = [(number, BASE, number, 0, 0, b.parts())]
+            rows, check = [(number, BASE, number, 0, 0, b.parts())], b.check().to_bytes(4, "little")
             for o, x in M.by_owner(owner.astype(np.int64)):
                 x = np.sort(x)
-                rows.append((o, WORDS, number, 0, 0, [M.pack_sorted(x.astype(np.uint32)), M.pack(said[x]), *write_words([words[i] for i in x.tolist()])]))
+                rows.append((o, WORDS, number, 0, 0, [M.pack_sorted(x.astype(np.uint32)), M.pack(said[x]), *write_words([words[i] for i in x.tolist()]), check]))
             for r in rows:
                 yield from M.table([r]).to_batches()
             trim()
