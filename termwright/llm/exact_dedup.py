@@ -2,9 +2,9 @@
 
 A frequent-items sketch of the Misra-Gries family (approx_top_k: fixed number of counters, merged across
 tasks) names digests that may be frequent. One exact pass over those alone gives their true counts and
-smallest id; these verified winners, a bounded table, are broadcast and settle every copy of a hot text on
-the map side. All other digests go through an ordinary shuffle, where no group can be larger than the
-sketch's error bound.
+smallest id; those with more rows than there are rows for each counter are verified winners. They are a bounded
+table, which is broadcast and settles every copy of a hot text on the map side. All other digests go through an
+ordinary shuffle, where no group can be larger than the sketch's error bound.
 """
 
 from __future__ import annotations
@@ -15,13 +15,15 @@ from termwright.llm.runtime import SPACE, id_text, materialize
 
 
 def frequent_digests(digests: DataFrame, counters: int, heavy: int) -> DataFrame:
-    """At most `heavy` digests that the sketch holds, with exact count and smallest doc_id."""
+    """At most `heavy` digests that the sketch holds and that have more than rows / counters rows, with exact count and smallest doc_id."""
+    floor = digests.count() // counters
     found = digests.select(F.explode(F.expr(f"approx_top_k(text_sha256, {heavy}, {counters})")).alias("x"))
     names = found.select(F.col("x.item").alias("text_sha256")).where("text_sha256 is not null")
     return (
         digests.join(F.broadcast(names), "text_sha256", "left_semi")
         .groupBy("text_sha256")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .where(F.col("group_size") > max(1, floor))
     )
 
 

@@ -17,13 +17,16 @@ LOCAL_DEFAULT = "/tmp/termwright-shared"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, or the context's checkpoint folder, or a local default."""
+    """The cluster's shared folder: spark.checkpoint.dir, or the context's checkpoint folder, or a local default on a local master only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(LOCAL_DEFAULT)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+    set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not set_.isEmpty():
+        return set_.get().rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("intermediate tables need a folder that driver and executors share: set spark.checkpoint.dir")
+    return LOCAL_DEFAULT
 
 
 def new_dir(spark: SparkSession, label: str) -> str:

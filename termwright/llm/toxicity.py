@@ -15,12 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from termwright.llm.runtime import crc_mod, id_text
+from termwright.llm.runtime import crc_mod, id_text, slices
 
 BUCKETS = 1 << 18
 GRAMS = (4, 5, 6)
 #: Labelled rows a fit reads at most, for each class.
 TRAIN_PER_CLASS = 1500
+#: Bytes of their texts, for each class.
+TRAIN_BYTES = 24 << 20
 REMEMBERED = 400_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -144,16 +146,27 @@ def fit(texts: list[str | None], labels: list[int], dim: int = 4, epochs: int =
     return Model(weight, float(bias[1] - bias[0]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, fold: tuple[int, int] = (3, 1)) -> tuple[list, list]:
-    """Texts and labels of at most per_class rows a class whose crc32(doc_id) leaves the fold out; at most 2 * per_class ids are broadcast."""
+def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, fold: tuple[int, int] = (3, 1), class_bytes: int = TRAIN_BYTES) -> tuple[list, list]:
+    """Whole texts and labels of rows whose crc32(doc_id) leaves the fold out: of each class at most per_class rows and about class_bytes bytes.
+
+    An id with both labels is left out; an id that labels repeat counts once. The driver sees the sizes of at most
+    2 * per_class rows, and then the texts of those that fit.
+    """
     m, held = fold
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where((crc_mod(F.col("doc_id"), m) != held) & F.col("toxic").isin(0, 1))
-    pick = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    chosen = pick[0].unionByName(pick[1]).dropDuplicates(["doc_id"])
-    rows = id_text(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic", "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    rows = rows[: 2 * per_class]
-    return [r.text for r in rows], [r.toxic for r in rows]
+    known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
+    rows = id_text(docs).withColumn("h", F.xxhash64("text"))
+    # a document's row is told by its id and the hash of its text
+    sized = rows.select("doc_id", "h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).join(known, "doc_id")
+    ids, left = {}, [class_bytes, class_bytes]
+    for c in (0, 1):
+        for r in sized.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(per_class).collect():
+            if r.n <= left[c] and (r.doc_id, r.h) not in ids:
+                ids[r.doc_id, r.h], left[c] = c, left[c] - r.n
+    chosen = docs.sparkSession.createDataFrame([(d, h, c) for (d, h), c in ids.items()], "doc_id long, h long, toxic int")
+    found = rows.join(F.broadcast(chosen), ["doc_id", "h"]).groupBy("doc_id", "h", "toxic").agg(F.first("text").alias("text")).collect()
+    found.sort(key=lambda r: (r.doc_id, r.h))
+    return [r.text for r in found], [r.toxic for r in found]
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (3, 1)) -> DataFrame:
@@ -167,8 +180,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value, {}
-        for b in batches:
-            bags = [tokens(t) for t in b.column(1).to_pylist()]
+        for ids, texts in slices(batches):
+            bags = [tokens(t) for t in texts]
             new = list(set().union(*bags) - known.keys())
             if len(known) > REMEMBERED:
                 known, new = {}, list(set().union(*bags))
@@ -176,11 +189,17 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
                 part = new[at : at + 50_000]
                 known.update(zip(part, m.word_scores(part).tolist()))
             out = [m.probability(sum(map(known.__getitem__, ws)) / len(ws) if ws else 0.0) for ws in bags]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     scored = id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), fold[0]) == fold[1], F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> DataFrame:
+    """Fits on labels (doc_id, toxic 0 or 1) and scores every row of docs: doc_id, held_out, score, predicted.
+
+    Other columns of both tables are ignored. Labels that are null or neither 0 nor 1, and ids that are labelled both
+    ways, teach nothing; without labels of both classes all rows get one score. Nulls, repeats and empty
+    tables as in score().
+    """
     return score(docs, fit(*training_rows(docs, labels, per_class)))

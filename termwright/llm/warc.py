@@ -29,6 +29,7 @@ ARCHIVE_BYTES = 24 << 20
 DICT_BYTES = 32 << 10
 #: Bytes of records a dictionary is built from, spread over the archive.
 DICT_SAMPLE = 1 << 20
+DICT_PART = 16 << 10
 
 
 def resolve(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
@@ -64,21 +65,22 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(head).encode() + END + body + END
 
 
-def dictionary(records: list[bytes]) -> zstd.ZstdCompressionDict | None:
-    """A dictionary from records spread over the archive; None when they are too few or too small to train on."""
+def dictionary(records: list[bytes]) -> zstd.ZstdCompressionDict:
+    """A dictionary from parts spread evenly over the archive; where there is too little to train on, the parts themselves are the dictionary."""
     every = max(1, sum(map(len, records)) // DICT_SAMPLE)
-    sample = [r[: 128 << 10] for r in records[::every]]
+    parts = [r[i : i + DICT_PART] for r in records for i in range(0, len(r), DICT_PART)][::every]
     try:
-        return zstd.train_dictionary(DICT_BYTES, sample) if len(sample) >= 8 else None
+        return zstd.train_dictionary(DICT_BYTES, parts)
     except zstd.ZstdError:
-        return None
+        return zstd.ZstdCompressionDict(b"".join(parts)[-DICT_BYTES:], dict_type=zstd.DICT_TYPE_RAWCONTENT)
 
 
 def archive(records: list[bytes], level: int = 3) -> bytes:
+    if not records:
+        return b""
     d = dictionary(records)
-    packer = zstd.ZstdCompressor(level=level, **({"dict_data": d} if d else {}))
-    lead = struct.pack("<II", DICT_MAGIC, len(d.as_bytes())) + d.as_bytes() if d else b""
-    return lead + b"".join(map(packer.compress, records))
+    packer = zstd.ZstdCompressor(level=level, dict_data=d)
+    return struct.pack("<II", DICT_MAGIC, len(d.as_bytes())) + d.as_bytes() + b"".join(map(packer.compress, records))
 
 
 def records_of(data: bytes) -> Iterator[bytes]:
