@@ -128,7 +128,7 @@ def price(size: np.ndarray, value: np.ndarray, most: np.ndarray, capacity: int)
     return found
 
 
-def fractional(classes: Classes, capacity: int, step: float = 0.2, sharp: float = 6.0, tolerance: float = 0.01) -> list[tuple[dict[int, int], float]]:
+def fractional(classes: Classes, capacity: int, step: float = 0.15, sharp: float = 8.0, tolerance: float = 0.01) -> list[tuple[dict[int, int], float]]:
     """Configurations and how often each is used, by multiplicative weights, until all but `tolerance` of the tokens are covered.
 
     A class weighs less the more of it is covered, so what is hard to place is placed while there is still
