@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from termwright.sources.normalize import normalize
 from termwright.sources.registry import REPLACE, Dataset, Loader, NotPublished, seasons_for
 
-LOG = T.StructType.fromDDL("dataset string, season int, rows long, seconds double, note string")
-LEDGER = T.StructType.fromDDL("dataset string, season int, column_name string, stored string, incoming string")
+LOG = "dataset string, season int, rows long, seconds double, note string"
+LEDGER = "dataset string, season int, column_name string, stored string, incoming string"
 
 
 def stamp_season(df: DataFrame, season: int | None, column: str = "season") -> DataFrame:
