@@ -21,6 +21,23 @@ def season_status(games: DataFrame, season: str, period: str, final: str, floor:
     return by.withColumns({"complete": done, "in_progress": (F.col("final") > 0) & ~done, "queryable": (F.col(season) >= floor) & (F.col("final") > 0)})
 
 
+def team_season_status(games: DataFrame, season: str, period: str, final: str, teams: list[str], playoff: str, floor: int) -> DataFrame:
+    """season_status with games_per_team (the most regular games any team has) and playoff_teams; a season without playoffs has none.
+
+    games has a column for each team of a game; `playoff` and `final` are boolean columns. periods are regular ones.
+    """
+    sides = None
+    for team in teams:
+        one = games.select(season, F.col(team).alias("team__"), F.col(playoff).alias("playoff__"))
+        sides = one if sides is None else sides.unionByName(one)
+    per_team = sides.where("team__ is not null").groupBy(season, "team__").agg(F.count(F.when(~F.col("playoff__"), 1)).alias("regular__"), F.max(F.col("playoff__").cast("int")).alias("in__"))
+    wide = per_team.groupBy(season).agg(F.max("regular__").alias("games_per_team"), F.sum("in__").cast("long").alias("playoff_teams"))
+    by = games.groupBy(season).agg(F.countDistinct(F.when(~F.col(playoff), F.col(period))).cast("long").alias("periods"), F.count(F.lit(1)).alias("scheduled"), F.count(F.when(F.col(final), 1)).alias("final"))
+    done = F.col("final") == F.col("scheduled")
+    out = by.join(wide, season, "left").withColumns({"games_per_team": F.coalesce("games_per_team", F.lit(0)), "playoff_teams": F.coalesce("playoff_teams", F.lit(0))})
+    return out.withColumns({"complete": done, "in_progress": (F.col("final") > 0) & ~done, "queryable": (F.col(season) >= floor) & (F.col("final") > 0)})
+
+
 def column_facts(table: DataFrame, season: str | None, columns: list[str]) -> DataFrame:
     """column_name, season, non_null, total: one scan for each hundred columns, unpivoted."""
     out = None

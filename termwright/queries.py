@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from termwright import source_queries
 from termwright.definitions import Store
 from termwright.functions import predicates as P
 from termwright.models import commerce
@@ -276,5 +277,7 @@ OTHERS: dict[str, tuple[Query, str]] = {
     "raw_sql_guarded": (raw_sql_guarded, "SELECT segment, count(*) AS n FROM o JOIN c USING (custkey) GROUP BY 1"),
 }
 
+OTHERS |= source_queries.QUERIES
+
 QUERIES: dict[str, Query] = {n: plan(p) for n, (p, _) in PLANS.items()} | {n: f for n, (f, _) in OTHERS.items()}
 ORACLE_SQL: dict[str, str] = {n: f"WITH {ENTITIES} {sql}" for n, (_, sql) in (PLANS | OTHERS).items()}

@@ -1,5 +1,7 @@
 """Signals, gate, store and compiler."""
 
+import random
+
 import pytest
 
 from termwright.definitions import Store
@@ -19,27 +21,46 @@ def store():
     return Store(MODEL).add(*commerce.DEFINITIONS)
 
 
-TIED = Entity("tied", ("k", "year"), ("k",), attributes(all="k:str year:int v:float g:str"), season="year")
-TIES = Model("ties", {"tied": TIED}, {}, ("R",), ("R",), ("tied",), lambda *_: {})
+SHOPS = Entity("shops", ("shop", "year"), ("shop",), attributes(all="shop:str year:int sales:float town:str"), season="year")
+TOWNS = Model("towns", {"shops": SHOPS}, {}, ("R",), ("R",), ("shops",), lambda *_: {})
 
 
-def members(spark, **params):
-    rows = [(f"p{i}", 2023, v, "g") for i, v in enumerate([1.0, 1.0, 1.0, 1.0, 0.5, 0.4, 0.3, 0.1, 0.1, 0.1])] + [("null", 2023, None, "g"), ("other", 2023, 9.0, None)]
-    table = spark.createDataFrame(rows, "k string, year int, v double, g string")
-    d = Store(TIES).add({"name": "dd", "entity": "tied", "signal": params.pop("signal", "percentile"), "params": {"attr": "v", "cohort": ["g", "year"], **params}}).get("dd")
-    return {r["k"] for r in S.cohort(TIES, d, table).collect()}
+@pytest.fixture(scope="module")
+def shops():
+    """Three towns of unlike size whose sales have few distinct values, with sales and towns missing."""
+    rng = random.Random(11)
+    rows = [(f"s{i:03}", 2001 + i % 2, rng.choice([None, 2.0, 3.0, 3.0, 5.0, 8.0]), rng.choice([None, "a", "a", "a", "b"])) for i in range(90)]
+    return rows + [("only", 2001, 1.0, "c")]
 
 
-@pytest.mark.parametrize(
-    "pctile, direction, n", [(90, "top", 4), (70, "top", 4), (50, "top", 6), (25, "bottom", 3), (30, "bottom", 4), (30, "top", 10), (70, "bottom", 10), (0, "top", 10)]
-)
-def test_ties_are_in_or_out_together(spark, pctile, direction, n):
-    assert len(members(spark, pctile=pctile, direction=direction)) == n
+def chosen(spark, rows, **params):
+    d = Store(TOWNS).add({"name": "dd", "entity": "shops", "signal": params.pop("signal"), "params": {"attr": "sales", "cohort": ["town", "year"], **params}}).get("dd")
+    return {(r["shop"], r["year"]) for r in S.cohort(TOWNS, d, spark.createDataFrame(rows, "shop string, year int, sales double, town string")).collect()}
+
+
+@pytest.mark.parametrize("direction", ["top", "bottom"])
+@pytest.mark.parametrize("pctile", [0, 12, 37.5, 60, 99, 100])
+def test_percentiles_by_counting(spark, shops, pctile, direction):
+    """In the set: at least the percentile's share of the cohort is no better, counting ties with the row."""
+    want = set()
+    for shop, year, sales, town in shops:
+        if sales is not None and town is not None:
+            peers = [s for _, y, s, t in shops if (y, t) == (year, town) and s is not None]
+            if direction == "top" and sum(s <= sales for s in peers) / len(peers) >= pctile / 100:
+                want.add((shop, year))
+            if direction == "bottom" and sum(s >= sales for s in peers) / len(peers) >= (100 - pctile) / 100:
+                want.add((shop, year))
+    assert chosen(spark, shops, signal="percentile", pctile=pctile, direction=direction) == want
 
 
-def test_rank_breaks_ties_by_key(spark):
-    assert members(spark, signal="rank", top_n=2) == {"p0", "p1"}
-    assert members(spark, signal="rank", top_n=1, direction="bottom") == {"p7"}
+@pytest.mark.parametrize("direction, sign", [("top", -1), ("bottom", 1)])
+def test_ranks_by_sorting(spark, shops, direction, sign):
+    """Ties at the edge are broken by key."""
+    want = set()
+    for cohort in {(y, t) for _, y, s, t in shops if t is not None}:
+        mine = sorted((sign * s, shop) for shop, y, s, t in shops if (y, t) == cohort and s is not None)
+        want |= {(shop, cohort[0]) for _, shop in mine[:4]}
+    assert chosen(spark, shops, signal="rank", top_n=4, direction=direction) == want
 
 
 def test_membership_partitions_rows_in_three(spark, sf_dir, store):
