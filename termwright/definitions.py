@@ -50,13 +50,13 @@ class Store:
     folder: Path | None = None
     known: dict[str, Definition] = field(default_factory=dict)
     broken: dict[str, str] = field(default_factory=dict)
+    held: dict[str, Definition] = field(default_factory=dict)
     seen: float = 0.0
 
     def load(self) -> Store:
         """Read, register and validate to a fixed point; what does not hold is quarantined, never raised."""
-        self.broken = {}
         if self.folder:
-            self.known = {}
+            self.broken, self.known, self.held = {}, {}, {}
             for path in sorted(self.folder.glob("*.json")):
                 try:
                     d = Definition.of(json.loads(path.read_text()))
@@ -66,6 +66,13 @@ class Store:
                 except (ValueError, TypeError) as e:
                     self.broken[path.stem] = str(e)
             self.seen = self._stamp()
+        return self.settle()
+
+    def settle(self) -> Store:
+        """Validate what is known, and once more what was held back: it may hold by now."""
+        for name in self.held:
+            self.broken.pop(name, None)
+        self.known, self.held = {**self.held, **self.known}, {}
         changed = True
         while changed:
             changed = False
@@ -73,7 +80,7 @@ class Store:
                 problems = self.problems(d)
                 if problems:
                     self.broken[d.name] = "; ".join(problems)
-                    del self.known[d.name]
+                    self.held[d.name] = self.known.pop(d.name)
                     changed = True
         return self
 
@@ -101,7 +108,7 @@ class Store:
         for raw in definitions:
             d = Definition.of(raw)
             self.known[d.name] = d
-        return self.load() if not self.folder else self
+        return self.settle()
 
     def save(self, raw: dict, overwrite: bool = False, copied_from: str | None = None) -> Definition:
         """Check and write a definition; an overwritten version goes to history."""
@@ -136,10 +143,14 @@ class Store:
         (past / f"{d.name}.v{d.version}.{int(time.time() * 1000)}.json").write_text(json.dumps(asdict(d)))
 
     def delete(self, name: str) -> None:
-        d = self.known.pop(name)
-        if self.folder:
+        """By name or alias; what rests on it is quarantined."""
+        d = self.get(name) or self.held.get(name)
+        if d is None:
+            raise ValueError(f"no definition {name!r}")
+        self.known.pop(d.name, None), self.held.pop(d.name, None), self.broken.pop(d.name, None)
+        if self.folder and (self.folder / f"{d.name}.json").exists():
             self._archive(d)
-            (self.folder / f"{name}.json").unlink()
+            (self.folder / f"{d.name}.json").unlink()
         self.load()
 
     def export(self) -> list[dict]:

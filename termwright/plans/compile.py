@@ -86,7 +86,9 @@ def compile_plan(model: Model, store: Store, plan: Plan, passed: Passed, tables:
             got = {"count_distinct": F.countDistinct, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[m.fn](x)
         aggregates.append(got.alias(m.name))
     grouped = base.groupBy(*[F.col(f"key__{n}").alias(n) for n in keys]) if keys else base.groupBy()
-    order = [(F.desc_nulls_last if down else F.asc_nulls_last)(by) for by, down in plan.order_by] + [F.asc_nulls_last(n) for n in keys if n not in {by for by, _ in plan.order_by}]
+    called = {k.attr: k.name for k in plan.group_by if k.attr}  # an attribute stands for the group of that attribute
+    ordered = [(by if by in keys or by in {m.name for m in plan.metrics} else called[by], down) for by, down in plan.order_by]
+    order = [(F.desc_nulls_last if down else F.asc_nulls_last)(by) for by, down in ordered] + [F.asc_nulls_last(n) for n in keys if n not in {by for by, _ in ordered}]
     limit = plan.limit or DEFAULT_LIMIT
     rows = grouped.agg(*aggregates)
     main = (rows.orderBy(*order) if order else rows).limit(limit)

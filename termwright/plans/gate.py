@@ -60,7 +60,7 @@ def check(model: Model, store: Store, plan: Plan, coverage: Coverage | None = No
         return Refused("unknown_attribute", [{"name": u, "did_you_mean": difflib.get_close_matches(u, known, 3)} for u in unknown])
     problems = [x for c in walk(plan.where) if "attr" in c for x in P.check(c["op"], c.get("value"), model.attribute(plan.entity, c["attr"]).type)]
     problems += [f"{m.fn} of {m.of} has no meaning" for m in plan.metrics if m.fn in ("sum", "avg") and m.of and model.attribute(plan.entity, m.of).type not in S.NUMERIC]
-    keys = {k.name for k in plan.group_by} | {m.name for m in plan.metrics}
+    keys = made | {k.attr for k in plan.group_by if k.attr}
     problems += [f"order_by {by} is neither a group nor a metric" for by, _ in plan.order_by if by not in keys]
     if problems:
         return Refused("invalid_plan", problems)
@@ -116,17 +116,18 @@ def seasons(model: Model, store: Store, plan: Plan, coverage: Coverage, passed:
         dated = [c for c in found if c["first_season"] is not None]
         lo = max([lo, *(c["first_season"] + lag for c in dated)])
         hi = min([hi, *(c["last_season"] + lag for c in dated)])
+    rows = limiting(groups, coverage)
     if lo > hi:
-        return Refused("coverage_gap", [{"available": None, "why": "the columns share no season"}])
+        return Refused("coverage_gap", [{"available": None, "why": "the columns share no season", "limiting": rows}])
     ask = plan.seasons or (q[0], q[-1])
     got = (max(ask[0], lo), min(ask[1], hi))
     if got[0] > got[1]:
-        return Refused("coverage_gap", [{"available": [lo, hi], "asked": list(ask)}])
+        return Refused("coverage_gap", [{"available": [lo, hi], "asked": list(ask), "limiting": rows, "why": why_excluded(rows, lo, hi)}])
     passed.excluded = [s for s in range(ask[0], ask[1] + 1) if not got[0] <= s <= got[1]]
     if passed.excluded:
         if plan.seasons and not plan.allow_partial_coverage:
-            return Refused("coverage_gap", [{"available": [lo, hi], "asked": list(ask), "excluded": passed.excluded}], "ask for the available seasons or allow_partial_coverage")
-        passed.warnings.append(f"seasons {passed.excluded} are not covered and left out")
+            return Refused("coverage_gap", [{"available": [lo, hi], "asked": list(ask), "excluded": passed.excluded, "limiting": rows, "why": why_excluded(rows, lo, hi)}], "ask for the available seasons or allow_partial_coverage")
+        passed.warnings.append(f"seasons {passed.excluded} are not covered and left out: {why_excluded(rows, lo, hi)}")
     passed.seasons = got
     passed.warnings += [f"season {s} is in progress" for s, r in sorted(coverage.seasons.items()) if r["in_progress"] and got[0] <= s <= got[1]]
     for r in soft:
@@ -136,3 +137,33 @@ def seasons(model: Model, store: Store, plan: Plan, coverage: Coverage, passed:
             passed.warnings.append(f"{r} starts in {c['first_season']}")
     passed.warnings += [f"{e}.{n} has gaps" for cols in groups.values() for e, n in dict.fromkeys(cols) if coverage.columns[(e, n)]["has_gaps"]]
     return passed
+
+
+def limiting(groups: dict[int, list[tuple[str, str]]], coverage: Coverage) -> list[dict]:
+    """The columns that need seasons, with the plan's seasons each can answer: those that start last come first."""
+    rows = []
+    for lag, cols in groups.items():
+        for c in dict.fromkeys(cols):
+            f = coverage.columns.get(c)
+            if f is not None and f["first_season"] is not None:
+                rows.append({"column": ".".join(c), "first": f["first_season"] + lag, "last": f["last_season"] + lag, "lag": lag})
+    return sorted(rows, key=lambda r: (-r["first"], r["last"], r["column"]))
+
+
+def why_excluded(rows: list[dict], lo: int, hi: int) -> str:
+    """What pushed the seasons in; a column of another season than the row's is named as that, not as a hole in the data."""
+    edge = [r for r in rows if r["first"] == lo or r["last"] == hi]
+    for r in sorted(edge, key=lambda r: r["lag"] == 0):
+        if r["lag"]:
+            away = f"{abs(r['lag'])} season{'s' * (abs(r['lag']) > 1)} {'back' if r['lag'] > 0 else 'ahead'}"
+            return f"{r['column']} is read {away}, and its data are from {r['first'] - r['lag']} to {r['last'] - r['lag']}"
+        return f"{r['column']} has data from {r['first']} to {r['last']}"
+    return "no column used has data there"
+
+
+def coverage_of(model: Model, store: Store, name: str, coverage: Coverage) -> tuple[int, int] | None:
+    """Seasons in which a definition's own columns all have data; None for an unknown definition or a column without data."""
+    d = store.get(name)
+    if d is None:
+        return None
+    return coverage.intersect([(d.entity, r) for r in S.requires(model, store, d) if "." not in r])

@@ -95,7 +95,7 @@ def parse(raw: dict[str, Any]) -> Plan:
         metrics.append(metric)
     names = [k.name for k in keys] + [m.name for m in metrics if m.fn in METRICS]
     problems += [f"{n} is used twice" for n in sorted({n for n in names if names.count(n) > 1})]
-    order = [(o, False) if isinstance(o, str) else (o["by"], o.get("dir", "asc") == "desc") for o in raw.get("order_by", [])]
+    order = [(o, False) if isinstance(o, str) else (o.get("by", o.get("key")), o.get("dir", "asc") == "desc") for o in raw.get("order_by", [])]
     if "entity" not in raw:
         problems.append("no entity")
     if problems:

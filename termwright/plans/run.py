@@ -62,6 +62,7 @@ def query(spark: SparkSession, model: Model, store: Store, raw: dict, tables: di
         return {"ok": False, "error": asdict(got)}
     compiled, passed = got
     out, timing = {}, {}
+    compiled.base.persist()  # three statements over the same rows
     try:
         for name, df in (("rows", compiled.main), ("sample", compiled.sample), ("count", compiled.count)):
             began = time.perf_counter()
@@ -69,6 +70,8 @@ def query(spark: SparkSession, model: Model, store: Store, raw: dict, tables: di
             timing[name] = round(time.perf_counter() - began, 3)
     except QueryTimeout as e:
         return {"ok": False, "error": {"code": "sql_timeout", "problems": [str(e)], "next_step": None}}
+    finally:
+        compiled.base.unpersist()
     return {
         "ok": True, "question": raw.get("question"), "english": english(parse(raw)), "rows": out["rows"], "truncated": len(out["rows"]) == compiled.limit, "sample": out["sample"], "matched": out["count"][0]["n"],
         "definitions_used": [store.explain(d.name) for d in passed.used], "seasons": passed.seasons, "excluded": passed.excluded, "warnings": passed.warnings, "timing": timing,
