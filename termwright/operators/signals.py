@@ -6,6 +6,7 @@ the base as a marker, and the marker becomes true, false or unknown the way `(ke
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -191,14 +192,36 @@ def cohort(model: Model, d: Definition, table: DataFrame) -> DataFrame:
     for r in eligibility(model, d):
         rows = rows.where(P.clause(F.col(r["attr"]), r["op"], r.get("value"), model.attribute(d.entity, r["attr"]).type))
     top = p.get("direction", "top") == "top"
-    within = Window.partitionBy(*p["cohort"])
     if d.signal == "percentile":
-        place = F.cume_dist().over(within.orderBy(F.asc(p["attr"]) if top else F.desc(p["attr"])))
-        cut = F.col("place__") >= F.lit((float(p["pctile"]) if top else 100 - float(p["pctile"])) / 100)
-    else:
-        place = F.row_number().over(within.orderBy(F.desc(p["attr"]) if top else F.asc(p["attr"]), *[F.asc(k) for k in keys]))
-        cut = F.col("place__") <= p["top_n"]
-    return rows.withColumn("place__", place).where(cut).select(*keys).distinct()
+        placed = with_cume_dist(rows, p["attr"], p["cohort"], top)
+        return placed.where(F.col("place__") >= F.lit((float(p["pctile"]) if top else 100 - float(p["pctile"])) / 100)).select(*keys).distinct()
+    within = Window.partitionBy(*p["cohort"])
+    # a filter on row_number is pushed before the exchange as a limit for each cohort
+    place = F.row_number().over(within.orderBy(F.desc(p["attr"]) if top else F.asc(p["attr"]), *[F.asc(k) for k in keys]))
+    return rows.withColumn("place__", place).where(F.col("place__") <= p["top_n"]).select(*keys).distinct()
+
+
+def bucket(value: Column) -> Column:
+    """A whole number that never falls as the value rises: 256 for each doubling, the same for all data."""
+    v = value.cast("double")
+    wide = F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(float(1 << 40))).otherwise(F.floor(F.log1p(F.abs(v)) * (256 / math.log(2))).cast("double"))
+    return (F.when(v < 0, -wide - 1).otherwise(wide)).cast("long")
+
+
+def with_cume_dist(rows: DataFrame, attr: str, cohort: list[str], ascending: bool) -> DataFrame:
+    """Adds place__, the share of the cohort's rows up to this one and its ties, without sorting a cohort in one task.
+
+    Rows are counted by cohort and bucket of values; the counts of buckets, of which a cohort has few, are summed up
+    in order, and only the rows of one bucket are sorted together.
+    """
+    rows = rows.withColumn("bucket__", bucket(F.col(attr)) if ascending else -bucket(F.col(attr)))
+    by = Window.partitionBy(*cohort)
+    counts = rows.groupBy(*cohort, "bucket__").agg(F.count(F.lit(1)).alias("n__"))
+    before = F.sum("n__").over(by.orderBy("bucket__").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n__")
+    sums = counts.withColumns({"before__": before, "all__": F.sum("n__").over(by)}).drop("n__")
+    own = Window.partitionBy(*cohort, "bucket__").orderBy(F.asc(attr) if ascending else F.desc(attr)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumn("own__", F.count(F.lit(1)).over(own)).join(sums, [*cohort, "bucket__"])
+    return placed.withColumn("place__", (F.col("before__") + F.col("own__")) / F.col("all__"))
 
 
 def mark(model: Model, base: DataFrame, m: Member, table: DataFrame) -> DataFrame:
