@@ -52,9 +52,9 @@ def column_facts(table: DataFrame, season: str | None, columns: list[str]) -> Da
     return out
 
 
-def column_coverage(table: DataFrame, season: str, columns: list[str], floor: int) -> DataFrame:
-    """column_name, first_season, last_season, seasons_with_data, has_gaps, non_null, total from the floor on."""
-    seen = column_facts(table.where(F.col(season) >= floor), season, columns)
+def column_coverage(table: DataFrame, season: str | None, columns: list[str], floor: int) -> DataFrame:
+    """column_name, first_season, last_season, seasons_with_data, has_gaps, non_null, total from the floor on; a table without seasons has none and no gaps."""
+    seen = column_facts(table.where(F.col(season) >= floor) if season else table, season, columns)
     has = F.when(F.col("non_null") > 0, F.col("season"))
     g = seen.groupBy("column_name").agg(
         F.min(has).cast("long").alias("first_season"), F.max(has).cast("long").alias("last_season"), F.count(has).alias("seasons_with_data"), F.sum("non_null").alias("non_null"), F.sum("total").alias("total")
@@ -96,7 +96,7 @@ class Coverage:
         return (lo, hi) if lo <= hi else None
 
     @staticmethod
-    def of(status: DataFrame, season: str, tables: dict[str, tuple[DataFrame, str, list[str]]], floor: int) -> Coverage:
+    def of(status: DataFrame, season: str, tables: dict[str, tuple[DataFrame, str | None, list[str]]], floor: int) -> Coverage:
         out = Coverage(seasons={r[season]: r.asDict() for r in status.collect()})
         for name, (table, its, columns) in tables.items():
             for r in column_coverage(table, its, columns, floor).collect():

@@ -100,7 +100,28 @@ def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("orderkey", F.round(F.abs(F.col("price") - 150000), 2).alias("off"), F.concat(F.lit("ord:"), "orderkey").alias("tag"), F.upper(F.split_part("priority", F.lit("-"), F.lit(2))).alias("word"), first.try_cast("int").alias("level"), F.split_part("priority", F.lit("-"), F.lit(2)).try_cast("int").alias("none"))
 
 
+def coverage_without_season(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that has no seasons: what of it is there at all."""
+    c = commerce.raw(spark, sf_dir, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("third"), F.lit(None).cast("string").alias("never"))
+    return C.column_coverage(c, None, c.columns, 1995)
+
+
+#: Ten facts of a customer, each a table of its own.
+TEN = [f"o_orderpriority LIKE '{i}-%'" for i in range(1, 6)] + ["o_orderstatus = 'F'", "o_orderstatus = 'O'", "o_totalprice > 200000", "o_totalprice < 50000", "year(o_orderdate) = 1996"]
+
+
+def fan_in_ten_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each customer, left-joined to ten tables of counts; a missing fact is zero."""
+    out, orders = commerce.raw(spark, sf_dir, "customer").select("c_custkey"), commerce.raw(spark, sf_dir, "orders")
+    for i, fact in enumerate(TEN):
+        one = orders.where(fact).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias(f"n{i}"))
+        out = out.join(one, "c_custkey", "left")
+    return out.na.fill(0)
+
+
 QUERIES = {
+    "coverage_without_season": (coverage_without_season, "SELECT x AS column_name, NULL::BIGINT AS first_season, NULL::BIGINT AS last_season, 0::BIGINT AS seasons_with_data, n::BIGINT AS non_null, t::BIGINT AS total, false AS has_gaps FROM (SELECT count(*) AS t, count(*) FILTER (c_custkey % 3 = 0) AS third FROM customer) CROSS JOIN (VALUES ('c_custkey'), ('c_name'), ('third'), ('never')) v(x) CROSS JOIN LATERAL (SELECT CASE x WHEN 'third' THEN third WHEN 'never' THEN 0 ELSE t END AS n)"),
+    "fan_in_ten_joins": (fan_in_ten_joins, "SELECT c_custkey, " + ", ".join(f"count(CASE WHEN {f} THEN 1 END) AS n{i}" for i, f in enumerate(TEN)) + " FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"),
     "replace_one_season": (replace_one_season, "SELECT year AS season, count(*) AS n, count(CASE WHEN year = 1996 THEN 1 END) AS dear FROM o WHERE year <> 1996 OR price > 100000 GROUP BY 1"),
     "append_conflicting_types": (append_conflicting_types, "SELECT year AS season, count(*) AS n, count(p) AS prices, round(max(p), 2) AS top FROM (SELECT year, CASE WHEN year < 1997 OR orderkey % 7 <> 0 THEN price END AS p FROM o WHERE year <= 1997) GROUP BY 1"),
     "type_ledger": (type_ledger, "SELECT * FROM (VALUES ('orders', 'price', 'double', 'string', 2::BIGINT, 1996, 1997), ('orders', 'orderkey', 'bigint', 'int', 2::BIGINT, 1997, 1998)) t(dataset, column_name, stored, incoming, n, first_season, last_season)"),
