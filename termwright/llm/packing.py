@@ -143,7 +143,7 @@ def fractional(classes: Classes, capacity: int, step: float = 0.15, sharp: float
         at, often = np.fromiter(config, int), np.fromiter(config.values(), float)
         # a share of the demand that is left, or what uses a class up when little is
         x = float((left[at] / often).min())
-        x = x if x < 1 / step else max(1.0, step * x)
+        x = min(x, max(1.0, step * x))
         used.append((config, x))
         left[at] = np.maximum(left[at] - often * x, 0)
         left[left < 1e-9] = 0

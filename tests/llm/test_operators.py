@@ -569,6 +569,26 @@ def test_op5_query_is_the_model_on_each_row(spark, sf_dir):
         assert r.doc_id == d.doc_id and math.isclose(r.score, p, abs_tol=1e-9) and r.predicted == int(p >= 0.7) and r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 3 == 1)
 
 
+@pytest.mark.parametrize("name", ["op1_recompression", "op4_byte_bpe", "op7_suffix_dedup", "op9_lm"])
+def test_registered_queries_equal_brute_force(spark, sf_dir, monkeypatch, name):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    monkeypatch.setitem(globals(), "ROWS", rows)
+    got = queries.QUERIES[name](spark, sf_dir)
+    if name == "op1_recompression":
+        assert collect(got, "doc_id", "n_words", "n_removed", "kept_sha256") == op1_wanted()
+    if name == "op7_suffix_dedup":
+        want = [(i, len(x), sum(g), sum(y and not z for y, z in zip(g, [False, *g])), hashlib.sha256(bytes(c for c, y in zip(x, g) if not y)).hexdigest()) for i, x, g in removal(b, 50)]
+        assert collect(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
+    if name == "op4_byte_bpe":
+        enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+        ids = [(i, enc.encode_ordinary(t or "")) for i, t in rows]
+        want = [(i, len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(b(t)).hexdigest()) for (i, x), (_, t) in zip(ids, rows)]
+        assert collect(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
+    if name == "op9_lm":
+        for a, w in zip(sorted(map(tuple, got.collect())), sorted(op9_wanted())):
+            assert a[:5] == w[:5] and math.isclose(a[5], w[5], rel_tol=1e-9) and abs(a[6] - w[6]) <= 3e-4 * w[2]
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 
