@@ -30,7 +30,7 @@ SORTED = 1 << 18
 #: Bytes whose grams are hashed at once; a longer text is hashed in parts that overlap by a window.
 PART = 1 << 17
 #: Bits of a context's hash at first; tests make it small.
-HASH_BITS = 64
+HASH_BITS = 48
 SHARED, JUDGED, RANGES, CLAIMS = range(4)
 
 
@@ -258,11 +258,22 @@ class Contexts:
             yield owner, at[x]
 
 
+def six(h: np.ndarray) -> bytes:
+    """Hashes of at most 48 bits, six bytes each."""
+    return h.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unsix(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(U64).reshape(-1)
+
+
 def own_hashes(blocks: list[int], asked: list[R.Parts]) -> list[tuple[int, int, R.Parts]]:
     """Which contexts a smaller document of another block has whole, which speak for their class where an anchor has several, and for those that do not stand first: the block and place of the first."""
-    sizes = [len(p[3]) // 4 for p in asked]
-    keys = np.concatenate([R.unsteps(p[0]) for p in asked])
-    h = np.concatenate([np.frombuffer(p[1], U64) for p in asked])
+    names = [R.unsteps(p[0]) for p in asked]
+    sizes, keys = list(map(len, names)), np.concatenate(names)
+    h = np.concatenate([unsix(p[1]) for p in asked])
     least, place = np.concatenate([R.unplanes(p[2], np.int64) for p in asked]), np.concatenate([R.unplanes(p[3], np.uint32) for p in asked])
     block = np.repeat(np.array(blocks, np.int32), sizes)
     order = np.lexsort((least, h, keys))  # blocks ask in order, and a block asks once about a context
@@ -320,7 +331,7 @@ def own_contexts(blocks: list[int], asked: list[R.Parts], window: int) -> list[t
     powers, expand = Powers(), zstd.ZstdDecompressor().decompress
     body = np.frombuffer(b"".join(expand(p[0]) for p in asked), np.uint8)
     sizes, keys, least = (np.concatenate([f(p[i]) for p in asked]) for i, f in ((1, lambda x: R.unplanes(x, np.uint32).astype(np.int64)), (2, R.unsteps), (3, lambda x: R.unplanes(x, np.int64))))
-    ends = np.cumsum([len(p[1]) // 4 for p in asked])
+    ends = np.cumsum([len(R.unplanes(p[1], np.uint32)) for p in asked])
     starts = np.cumsum(sizes) - sizes
     order = np.argsort(keys, kind="stable")
     k, sz, st, ids = keys[order], sizes[order], starts[order], least[order]
@@ -401,7 +412,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
         out = materialize(_removed(base, window, gram, count, schema, as_text, salt, bits_), "passages")
         if out.where("not borne_out").isEmpty():
             return out.drop("borne_out")
-        salt, bits_ = salt + 1, 64
+        salt, bits_ = salt + 1, 48
 
 
 def _removed(base: DataFrame, window: int, gram: int, count: int, schema: T.StructType, as_text: bool, salt: int, hash_bits: int) -> DataFrame:
@@ -417,7 +428,7 @@ def _removed(base: DataFrame, window: int, gram: int, count: int, schema: T.Stru
         c = heard(block, told)
         h = c.hashes(salt, hash_bits)
         for owner, x in R.by_owner(c.names, count):
-            yield owner, [R.steps(c.names[x] >> R.SHORT), h[x].tobytes(), R.planes(c.least[x]), R.planes(c.start[c.lead[x]].astype(np.uint32))]
+            yield owner, [R.steps(c.names[x] >> R.SHORT), six(h[x]), R.planes(c.least[x]), R.planes(c.start[c.lead[x]].astype(np.uint32))]
 
     def ask_contexts(block: R.Block, told: R.Told) -> Iterator[tuple[int, R.Parts]]:
         c, squeeze = heard(block, told).judged(told, count), zstd.ZstdCompressor(level=1).compress
